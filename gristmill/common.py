@@ -88,7 +88,7 @@ def prefix_sum(
     before = totals.select(
         *[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)],
         F.col("__b").alias("__kb"),
-        F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"),
+        F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__bucket_start"),
     )
     on = F.col("__b") == F.col("__kb")
     for i, c in enumerate(by):
@@ -96,6 +96,18 @@ def prefix_sum(
     inner = W.partitionBy(*by, "__b").orderBy("__o", tie).rowsBetween(W.unboundedPreceding, -1)
     return (
         keyed.join(before, on)
-        .withColumn(out, F.col("__before") + F.coalesce(F.sum("__v").over(inner), F.lit(0)))
-        .drop("__o", "__v", "__b", "__before", "__kb", *[f"__k{i}" for i in range(len(by))])
+        .withColumn(out, F.col("__bucket_start") + F.coalesce(F.sum("__v").over(inner), F.lit(0)))
+        .drop("__o", "__v", "__b", "__bucket_start", "__kb", *[f"__k{i}" for i in range(len(by))])
     )
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join many rows with at most one row per key; keys that are hot in ``rows`` are salted.
+
+    The hot keys, at most ``HOT_SHARE`` whatever the input, are looked up first.
+    """
+    hot = [r[0] for r in hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key, hot_rows=hot_rows).collect()]
+    if not hot:
+        return rows.join(one, key, how)
+    listed = rows.sparkSession.createDataFrame([(h,) for h in hot], f"`{key}` {rows.schema[key].dataType.simpleString()}")
+    return salted_join(rows, one, key, listed, how)

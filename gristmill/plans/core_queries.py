@@ -1,0 +1,78 @@
+"""The pN_ queries of the general problems."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..common import one_delivery, table
+from ..operators import components, merkle, overlap
+
+
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.copies(table(spark, d, "code_prompts"), "canonical_prompt", ["canonical_prompt", "entry_point"], ["constraints"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    got = _copies(spark, d).where(F.col("keep_id") < F.col("row_id"))
+    return got.select("keep_id", F.col("row_id").alias("copy_id"))
+
+
+def p3_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """One row per task with its number of copies; rows with a null prompt stand for themselves."""
+    groups = _copies(spark, d)
+    sizes = groups.groupBy("keep_id").agg(F.count("*").alias("copies"))
+    later = groups.where(F.col("keep_id") < F.col("row_id")).select("row_id")
+    rows = one_delivery(table(spark, d, "code_prompts").select("row_id", "canonical_prompt", "entry_point", "constraints"))
+    kept = rows.join(later, "row_id", "left_anti")
+    return kept.join(sizes.withColumnRenamed("keep_id", "row_id"), "row_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+
+
+def _p4_keys() -> list:
+    return [[F.col("meta.author")], [F.col("meta.parent_seed_id")], [F.col("source"), F.col("source_key")]]
+
+
+def _targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
+    return [(r[0], r[1]) for r in table(spark, d, "split_targets").orderBy(F.desc("target_share"), "split_name").collect()]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    got = components.related(table(spark, d, "general_prompts"), _p4_keys())
+    return got.where(F.col("group_id") < F.col("row_id")).select("group_id", "row_id")
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's group and split."""
+    got = components.split_rows(table(spark, d, "general_prompts"), _p4_keys(), "family", _targets(spark, d))
+    return got.select("row_id", "group_id", F.col("stratum").alias("family"), "split_name")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares against the targets, per family and over all rows."""
+    targets = _targets(spark, d)
+    got = components.split_rows(table(spark, d, "general_prompts"), _p4_keys(), "family", targets)
+    return components.split_report(got, targets).withColumnRenamed("stratum", "family")
+
+
+def _p5(spark: SparkSession, d: str) -> tuple:
+    mix = table(spark, d, "sft_mix")
+    return (mix, *overlap.cross_split(mix, F.col("messages"), F.col("meta.split")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    _, pairs, evals, trains = _p5(spark, d)
+    return overlap.row_pairs(pairs, evals, trains)
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps per split and dataset."""
+    mix, pairs, evals, trains = _p5(spark, d)
+    return overlap.overlap_report(mix, pairs, evals, trains, F.col("meta.split"), F.col("meta.dataset"))
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p3_found, p3_tasks, p4_found, p4_splits, p4_report, p5_found, p5_report)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

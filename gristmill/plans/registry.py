@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import core_queries
+
 
 def queries() -> dict:
-    return {}
+    return core_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return core_queries.oracle_sql()
