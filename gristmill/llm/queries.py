@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import p1_parse
+from . import p1_parse, p2_pairs
 
 
 def _p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +40,21 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return p1_parse.rates(_p1_verdicts(spark, d).dropDuplicates(["table_name", "row_id"]), ["table_name", "repo_name", "language"])
 
 
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs.defects(table(spark, d, "teacher_answers"), "prompt", "answer_raw")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("row_id", "defect")
+
+
+def p2_all_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every triggered defect of every bad pair."""
+    return _p2(spark, d).select("row_id", F.explode("defects").alias("defect"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates)}
+    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects)}
 
 
 def oracle_sql() -> dict[str, str]:
