@@ -167,27 +167,29 @@ def _common(a: list[str], b: list[str]) -> int:
 
 def copied(prompt: str, answer: str) -> bool:
     """Whether the answer is the prompt, its instruction or its text again, with nothing new."""
-    bare = _LABEL.sub("", answer.strip().strip("\"'“”«»„>*`").strip())
-    got = words_of(bare)
-    if not got:
-        return False
+    bare = answer.strip().strip("\"'“”«»„>*`").strip()
     head, tail = parts(prompt)
-    for source in {prompt, tail, head}:
+    starts = {bare, re.sub(r"^[^\n:：]{1,30}[:：]\s*", "", bare)}  # with and without a label in front
+    for source, got in [(s, words_of(b)) for s in (prompt, tail, head) for b in starts]:
+        if not got:
+            continue
         want = words_of(source)
         if len(want) < 3 or abs(len(want) - len(got)) > 0.2 * max(len(want), len(got)) + 1:
             continue
         both = _common(want, got)
         new = [w for w in (Counter(got) - Counter(want)).elements() if not any(_near(w, x) for x in want)]
-        if len(got) - both <= max(1, 0.1 * len(got)) and len(want) - both <= max(1, 0.15 * len(want)) and not new:
+        if len(got) - both <= max(1, 0.1 * len(got)) and len(want) - both <= max(1, 0.15 * len(want)) and len(new) <= 0.05 * len(got) and not any(c.isdigit() for w in new for c in w):
             return True
     return False
 
 
 def _near(a: str, b: str) -> bool:
     """Words that differ by a slip: the same letters or one letter more, less or other."""
-    if a == b or sorted(a) == sorted(b):
-        return not (a.isdigit() and a != b)
-    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1 or a.isdigit():
+    if a == b or re.sub(r"(.)\1", r"\1", a) == re.sub(r"(.)\1", r"\1", b):
+        return True
+    if sorted(a) == sorted(b):
+        return not a.isdigit()
+    if min(len(a), len(b)) < 2 or abs(len(a) - len(b)) > 1 or any(c.isdigit() for c in a):
         return False
     return _common([*a], [*b]) >= max(len(a), len(b)) - 1
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import p1_parse, p2_pairs
+from . import p1_parse, p2_pairs, p8_sentences
 
 
 def _p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -53,8 +53,24 @@ def p2_all_defects(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d).select("row_id", F.explode("defects").alias("defect"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_sentences.split_documents(table(spark, d, "documents"))
+
+
+def p8_units(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units per source and language value: documents, units, mean length."""
+    docs = table(spark, d, "documents")
+    units = p8_sentences.split_documents(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars"))
+    return (
+        docs.select("doc_id", "source", F.lower(F.trim("lang")).alias("lang"))
+        .join(units, "doc_id", "left")
+        .groupBy("source", "lang")
+        .agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("units"), F.round(F.sum("chars") / F.sum("n"), 4).alias("mean_chars"))
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects)}
+    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:
