@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table
-from . import p1_parse, p2_pairs, p8_sentences
+from ..common import cut, table
+from . import p1_parse, p2_pairs, p6_packing, p7_mixing, p8_sentences
+from .tokens import with_token_count
 
 
 def _p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +54,37 @@ def p2_all_defects(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d).select("row_id", F.explode("defects").alias("defect"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return cut(with_token_count(table(spark, d, "documents").select("doc_id", "source", "text")))
+
+
+def _packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(r[0], r[1]) for r in table(spark, d, "pack_sizes").select("pack_name", "capacity_tokens").collect()]
+
+
+def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return p6_packing.pack(_sizes(spark, d), _packs(spark, d))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    packs = _packs(spark, d)
+    return p6_packing.report(p6_packing.pack(_sizes(spark, d), packs), packs)
+
+
+def _mix(spark: SparkSession, d: str) -> tuple:
+    targets = [(r[0], r[1], r[2]) for r in table(spark, d, "mix_targets").select("source", "target_weight", "max_repeats").collect()]
+    return (*p7_mixing.mix(_sizes(spark, d), targets), targets)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares against the targets."""
+    return p7_mixing.shares(*_mix(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_sentences.split_documents(table(spark, d, "documents"))
 
@@ -70,7 +102,7 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p8_found, p8_units)}
+    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p6_blocks, p6_report, p7_mixture, p7_shares, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:
