@@ -27,6 +27,8 @@ from ..common import cut
 
 LANDING = 14
 FAN_IN = 32
+#: At most so many documents of a source are decided one by one on the driver.
+GIANTS = 2_000
 _EPS = 1e-9
 
 
@@ -123,7 +125,27 @@ def mix(documents: DataFrame, targets: list[tuple[str, float, int]], seed: int =
     sure = placed.where(F.col("chance") == 0).select("doc_id", "source", "n_tokens", F.col("base").alias("times"))
     todo = placed.where(F.col("chance") > 0).select("doc_id", "source", "n_tokens", "chance")
     schema = "doc_id long, source string, n_tokens long, chance double"
-    decided = None
+    # the longest documents, at most GIANTS a source, are decided first; the chance of the others makes up for them
+    limits = [(s, int(max(c * supply[s][0] / 200, supply[s][0] / GIANTS)) + 1) for s, _, c in rates if c > 0]
+    if not limits:
+        return sure.where(F.col("times") > 0), need, supply
+    sized = todo.join(F.broadcast(spark.createDataFrame(limits, "source string, __limit long")), "source")
+    is_giant = F.col("n_tokens") >= F.col("__limit")
+    giants: dict[str, list[list]] = {}
+    for r in sized.where(is_giant).select("source", "doc_id", "n_tokens", "chance").orderBy("source", F.desc("n_tokens"), "doc_id").collect():
+        giants.setdefault(r[0], []).append([r[1], r[2], r[3]])
+    chances = {s: c for s, _, c in rates}
+    small = []
+    for s, _ in limits:
+        want, own = chances[s] * supply[s][0], giants.get(s, [])
+        left = supply[s][0] - sum(u[1] for u in own)
+        _settle(own, want, left, random.Random(f"{seed}/{s}"))
+        rest = want - sum(u[1] for u in own if u[2] > 0.5)
+        small.append((s, min(1.0, max(0.0, rest / left)) if left else 0.0))
+    rows = [(u[0], s, u[1], u[2]) for s, own in giants.items() for u in own]
+    decided = spark.createDataFrame(rows, schema)
+    others = F.broadcast(spark.createDataFrame(small, "source string, chance double"))
+    todo = sized.where(~is_giant).drop("chance", "__limit").join(others, "source").select("doc_id", "source", "n_tokens", "chance")
     parts, stay, level = max(1, docs.rdd.getNumPartitions()), LANDING, 0
     while True:
         final = parts == 1
@@ -131,7 +153,7 @@ def mix(documents: DataFrame, targets: list[tuple[str, float, int]], seed: int =
         ready = (todo.coalesce(1) if final else todo).sortWithinPartitions(F.desc("n_tokens"), "doc_id")
         flown = cut(ready.mapInArrow(_flight(stay, seed + level, final), schema))
         settled = flown.where(F.col("chance").isin(0.0, 1.0))
-        decided = settled if decided is None else decided.unionByName(settled)
+        decided = decided.unionByName(settled)
         if final:
             break
         parts, level = max(1, parts // FAN_IN), level + 1
@@ -141,6 +163,20 @@ def mix(documents: DataFrame, targets: list[tuple[str, float, int]], seed: int =
     return sure.unionByName(drawn).where(F.col("times") > 0), need, supply
 
 
+def _settle(units: list[list], want: float, left: float, rng: random.Random) -> None:
+    """Decide the giants of a source so that the other documents, of ``left`` tokens, can make up the rest."""
+    flown = fly(units, LANDING, rng)
+    for u in flown:
+        u[2] = float(rng.random() < u[2])
+    taken = sum(u[1] for u in units if u[2] > 0.5)
+    for u in sorted(units, key=lambda u: (-u[1], u[0])):
+        if taken > want and u[2] > 0.5:
+            u[2], taken = 0.0, taken - u[1]
+    for u in sorted(units, key=lambda u: (-u[1], u[0])):
+        if want - taken > left and u[2] < 0.5 and taken + u[1] <= want:
+            u[2], taken = 1.0, taken + u[1]
+
+
 def _rate(r: float, most: int) -> tuple[int, float]:
     base = int(r + 1e-9)
     chance = max(0.0, r - base)

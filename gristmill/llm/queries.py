@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..common import cut, table
 from . import p1_parse, p2_pairs, p6_packing, p7_mixing, p8_sentences
-from .tokens import with_token_count
+from ..functions.tokens import with_token_count
 
 
 def _p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
