@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import core_queries
+from . import core_queries, reference_queries
 
 
 def queries() -> dict:
-    return core_queries.queries()
+    return core_queries.queries() | reference_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return core_queries.oracle_sql()
+    return core_queries.oracle_sql() | reference_queries.oracle_sql()
