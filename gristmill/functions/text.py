@@ -5,6 +5,7 @@ Null text gives null (measures: 0 unless stated). Patterns use ``(?U)`` where wo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def any_of(t: Column | str, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [_c(t).contains(n) for n in needles], F.lit(False))
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x evaluated once, also inside the lambdas of higher-order functions."""
+    return F.transform(F.array(x), use)[0]
+
+
 # -- normalising -----------------------------------------------------------------------------------------
 def strip(t: Column | str) -> Column:
     """Without outer Unicode white space."""
@@ -185,8 +191,10 @@ def nonblank_lines(t: Column | str) -> Column:
 
 
 def short_line_ratio(t: Column | str, most: int = 30) -> Column:
-    lines = nonblank_lines(t)
-    return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: F.length(strip(x)) <= most)) / F.size(lines)).otherwise(F.lit(0.0))
+    def share(lines: Column) -> Column:
+        return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: F.length(strip(x)) <= most)) / F.size(lines)).otherwise(F.lit(0.0))
+
+    return let(nonblank_lines(t), share)
 
 
 HTML_TAG = r"(?i)</?(?:html|div|span|script|style|head|body|p|br|table|tr|td|ul|li|a)\b"
@@ -258,15 +266,16 @@ def looks_like_code(t: Column | str) -> Column:
 
 def guess_python(t: Column | str) -> Column:
     x = _c(t)
-    head = F.slice(nonblank_lines(x), 1, 200)
-    indented = F.size(F.filter(head, lambda v: v.startswith("    ")))
-    colons = F.size(F.filter(head, lambda v: v.rlike(r":\s*$")))
-    words = count_of(x, "def |class |import |from |None|True|False")
+
+    def by_lines(head: Column) -> Column:
+        indented = F.size(F.filter(head, lambda v: v.startswith("    ")))
+        colons = F.size(F.filter(head, lambda v: v.rlike(r":\s*$")))
+        return F.when(F.size(head) == 0, False).when((indented >= 6) & (colons >= 2), True).otherwise(count_of(x, "def |class |import |from |None|True|False") >= 2)
+
     return (
         F.when(has(x, r"^\s*#!/usr/bin/(?:env )?python") | has(x, r"(?m)^\s*def\s+\w+\s*\(|^\s*class\s+\w+\s*[:(]") | has(x, "if __name__ == (?:'__main__'|\"__main__\"):"), True)
-        .when(any_of(x, NOT_PYTHON) | (count_of(x, "[{}]") > 8) | (count_of(x, ";") > 12) | (F.size(head) == 0), False)
-        .when((indented >= 6) & (colons >= 2), True)
-        .otherwise(words >= 2)
+        .when(any_of(x, NOT_PYTHON) | (count_of(x, "[{}]") > 8) | (count_of(x, ";") > 12), False)
+        .otherwise(let(F.slice(nonblank_lines(x), 1, 200), by_lines))
     )
 
 
@@ -277,9 +286,11 @@ def python_signals(t: Column | str) -> Column:
 
 
 def code_line_ratio(t: Column | str) -> Column:
-    head = F.slice(nonblank_lines(t), 1, 220)
-    codey = F.filter(head, lambda v: strip(v).rlike(r"^#(?:!|include|define)|^#.{0,198}$|[;{}()=:]|->|^(?:def|class|import|from|return|fn|func) "))
-    return F.when(F.size(head) > 0, F.size(codey) / F.size(head)).otherwise(F.lit(0.0))
+    def share(head: Column) -> Column:
+        codey = F.filter(head, lambda v: strip(v).rlike(r"^#(?:!|include|define)|^#.{0,198}$|[;{}()=:]|->|^(?:def|class|import|from|return|fn|func) "))
+        return F.when(F.size(head) > 0, F.size(codey) / F.size(head)).otherwise(F.lit(0.0))
+
+    return let(F.slice(nonblank_lines(t), 1, 220), share)
 
 
 def word_count(t: Column | str) -> Column:
@@ -353,16 +364,24 @@ def words(t: Column | str) -> Column:
 
 
 def shingles(t: Column | str, n: int = 3) -> Column:
-    """The set of word n-grams; a shorter text is one shingle."""
-    w = words(t)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.array_distinct(F.when(F.size(w) >= n, runs).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
+    """The set of word n-grams; a shorter text is one shingle, null has none."""
+
+    def runs(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    return let(words(t), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two shingle sets."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+
+    def of(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        shared = F.size(F.array_intersect(x, y))
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), shared / (F.size(x) + F.size(y) - shared)).otherwise(F.lit(0.0))
+
+    return let(F.struct(a.alias("x"), b.alias("y")), of)
 
 
 def token_overlap(a: Column | str, b: Column | str) -> Column:
@@ -376,9 +395,11 @@ def space_words(t: Column | str) -> Column:
 
 
 def distinct_trigrams(t: Column | str) -> Column:
-    w = space_words(t)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
-    return F.when(F.size(w) < 4, F.lit(1.0)).otherwise(F.size(F.array_distinct(runs)) / (F.size(w) - 2))
+    def share(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
+        return F.when(F.size(w) < 4, F.lit(1.0)).otherwise(F.size(F.array_distinct(runs)) / (F.size(w) - 2))
+
+    return let(space_words(t), share)
 
 
 def length_score(t: Column | str, target: Column | float = 40.0) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import hot_keys, prefix_sum, salted_join, spread_join
+from ..common import cut, hot_keys, prefix_sum, salted_join, spread_join
 from ..functions import text as T
 
 # -- deduplication ---------------------------------------------------------------------------------------
@@ -49,6 +49,7 @@ def similar_pairs(df: DataFrame, shingles: str, threshold: float, block: str | N
     cols = [row_id, *([block] if block else [])]
     sets = df.where(F.size(shingles) > 0).withColumn("__h", F.array_sort(F.transform(F.col(shingles), lambda s: F.xxhash64(s))))
     sets = sets.withColumn("__blk", F.col(block).cast("string") if block else F.lit("")).withColumn("__k", F.md5(F.concat_ws(",", F.coalesce("__blk", F.lit("\0")), F.transform("__h", lambda h: h.cast("string")))))
+    sets = cut(sets.select(*cols, "__blk", "__h", "__k"))  # shingles are hashed once
     first = sets.groupBy("__k").agg(F.min(row_id).alias("__first"))
     members = spread_join(sets.select(*cols, "__k"), first, "__k").where(F.col(row_id) != F.col("__first"))
     reps = sets.join(first.select(F.col("__first").alias(row_id)), row_id, "left_semi").select(row_id, "__blk", "__h")
@@ -74,8 +75,6 @@ def greedy_keep(pairs: DataFrame, rows: DataFrame, row_id: str = "row_id", round
 
     Rounds settle every row whose earlier neighbours are all settled; the result equals the sequential rule.
     """
-    from ..common import cut
-
     edges = cut(pairs.select("a", "b"))
     open_rows = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct())
     dropped = open_rows.limit(0)

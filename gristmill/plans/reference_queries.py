@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import one_delivery, spread_join, table
 from ..functions import text as T
-from ..operators import chat, rows
+from ..functions import verify
+from ..functions.tokens import with_token_count
+from ..operators import chat, rows, tokens
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -231,7 +232,7 @@ def anti_join_seen(spark, d):
     return rows.not_seen(t, t.where("source = 'webedu_mix'"), "h").select("row_id")
 
 
-@query(f"WITH x AS (SELECT row_id, meta.split AS split, array_to_string(list_transform(m, lambda y: y.role || ': ' || y.content), chr(10) || chr(10)) AS k FROM {_MIX}) SELECT row_id, split FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY (CASE split WHEN 'val' THEN 0 WHEN 'test' THEN 1 ELSE 2 END), row_id) = 1")
+@query(f"WITH x AS (SELECT row_id, meta.split AS split, coalesce(array_to_string(list_transform(m, lambda y: y.role || ': ' || y.content), chr(10) || chr(10)), '') AS k FROM {_MIX}) SELECT row_id, split FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY (CASE split WHEN 'val' THEN 0 WHEN 'test' THEN 1 ELSE 2 END), row_id) = 1")
 def cross_split_dedup(spark, d):
     t = mix_turns(spark, d).select("row_id", F.col("meta.split").alias("split"), F.md5(chat.render(F.col("m"))).alias("k"))
     rank = F.when(F.col("split") == "val", 0).when(F.col("split") == "test", 1).otherwise(2)
@@ -412,10 +413,10 @@ def reward_rules(spark, d):
     return t.select("row_id", (F.size(T.space_words("a")) > 0).cast("int").alias("nonempty"), F.round(T.length_score("a"), 9).alias("length_score"), F.round(T.distinct_trigrams("a"), 9).alias("no_repeat"))
 
 
-@query(f"WITH x AS (SELECT row_id, coalesce(family, '') AS family, length(a)::DOUBLE AS r FROM {_ANS}) SELECT row_id, round((r - avg(r) OVER w) / (stddev_pop(r) OVER w + 1e-4), 6) AS advantage FROM x WINDOW w AS (PARTITION BY family)")
+@query(f"WITH x AS (SELECT row_id, coalesce(family, '') AS family, length(a)::DOUBLE AS r FROM {_ANS}) SELECT row_id, round((r - avg(r) OVER w) / (stddev_pop(r) OVER w + 1e-4), 4) AS advantage FROM x WINDOW w AS (PARTITION BY family)")
 def group_advantage(spark, d):
     t = answers(spark, d).select("row_id", F.coalesce("family", F.lit("")).alias("family"), F.length("a").cast("double").alias("r"))
-    return rows.advantage(t, "family", "r").select("row_id", F.round("advantage", 6).alias("advantage"))
+    return rows.advantage(t, "family", "r").select("row_id", F.round("advantage", 4).alias("advantage"))
 
 
 _FAMILY_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(p, '{n}')" for n in ns) + f" THEN '{k}'" for k, ns in T.FAMILIES.items()) + " END"
@@ -446,6 +447,54 @@ def semantic_diversity(spark, d):
     return scored.groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.avg("diversity"), 6).alias("diversity"))
 
 
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """Tumbling hours over the events (the same plan runs on a stream)."""
+    e = table(spark, d, "events")
+    return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query()
+def metric_ema(spark, d):
+    """Daily means of every event type and their exponential moving average."""
+    e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    series = e.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("day", "v"))).alias("s"))  # one entry a day
+    both = series.select("event_type", F.explode(F.arrays_zip(F.transform("s", lambda x: x["day"]).alias("day"), F.transform("s", lambda x: x["v"]).alias("v"), rows.ema(F.transform("s", lambda x: x["v"])).alias("ema"))).alias("z"))
+    return both.select("event_type", "z.day", F.round("z.v", 6).alias("v"), F.round("z.ema", 6).alias("ema"))
+
+
+@query()
+def code_structure(spark, d):
+    """Reasons against the reference solutions by the parser, with counts."""
+    t = one_delivery(table(spark, d, "code_prompts"))
+    got = verify.check_structure(t, "reference_code", "entry_point")
+    return got.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def chars_per_token(spark, d):
+    """Characters a token, per source and over all (source null)."""
+    t = with_token_count(table(spark, d, "documents").select("source", "n_chars", "text"))
+    return t.rollup("source").agg(F.sum("n_chars").alias("chars"), F.sum("n_tokens").alias("tokens"), F.round(F.sum("n_chars") / F.sum("n_tokens"), 6).alias("ratio"))
+
+
+@query()
+def token_blocks(spark, d):
+    """Documents end to end in blocks of 1,025 ids: blocks and supervised labels by source."""
+    t = tokens.with_ids(table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "source", "text"))
+    t = t.where(F.size("ids") > 0).withColumn("ids", tokens.with_ends(F.col("ids"), None, 50256))
+    b = tokens.blocks(t, "ids", 1025, ["source"])
+    live = F.aggregate(tokens.loss_mask(F.col("ids"), -1, 50256), F.lit(0), lambda a, x: a + x)
+    return b.groupBy("source").agg(F.count("*").alias("blocks"), F.sum(live).alias("labels"), F.min(tokens.in_range(F.col("ids"), 50257).cast("int")).alias("all_in_range"))
+
+
+@query()
+def first_token_top(spark, d):
+    """The ten most frequent first tokens, per source and over all (a top-k report)."""
+    t = tokens.with_ids(table(spark, d, "documents").select("source", "text"))
+    return tokens.first_tokens(t, "ids", "source", 10)
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 
