@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,7 +30,7 @@ HOPS = 4
 SMALL_EDGES = 500_000
 #: Components of at least 1/BIG_SHARE of all rows (so at most BIG_SHARE) are placed one by one.
 BIG_SHARE = 1_000
-MAX_STRATA = 1_000
+MAX_STRATA = 200
 
 
 def clean_key(c: Column) -> Column:
@@ -87,8 +88,13 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grow(adjacent: DataFrame, level: int, seed_rate: int, hops: int) -> DataFrame:
-    """``v, label`` for all vertices after growing seeds for some hops; what no seed reached is its own label."""
-    vertices = adjacent.select(F.col("u").alias("v")).distinct()
+    """``v, label`` for all vertices after growing seeds for some hops.
+
+    What no seed reached takes the neighbour (or itself) of least hash, so every component shrinks.
+    """
+    order = F.struct(F.xxhash64("u", F.lit(~level)).alias("h"), F.col("u"))
+    vertices = adjacent.groupBy("v").agg(F.min(order).alias("__near"))
+    own = F.struct(F.xxhash64("v", F.lit(~level)).alias("h"), F.col("v").alias("u"))
     is_seed = F.pmod(F.xxhash64("v", F.lit(level)), F.lit(seed_rate)) == 0
     labels = cut(vertices.where(is_seed).select("v", F.col("v").alias("label")))
     frontier = labels
@@ -98,7 +104,7 @@ def _grow(adjacent: DataFrame, level: int, seed_rate: int, hops: int) -> DataFra
         if frontier.isEmpty():
             break
         labels = labels.unionByName(frontier)
-    return cut(vertices.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label")))
+    return cut(vertices.join(labels, "v", "left").select("v", F.coalesce(F.col("label"), F.least(F.col("__near"), own)["u"]).alias("label")))
 
 
 def components(edges: DataFrame, seed_rate: int = SEED_RATE, hops: int = HOPS, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -176,35 +182,60 @@ def group_splits(rows: DataFrame, targets: list[tuple[str, float]], seed: int =
         placed[g] = best
         for f, k in parts[g].items():
             need[f, best] -= k
+    fixed = spark.createDataFrame(list(placed.items()), "group_id long, split_name string")
+    small = groups.join(F.broadcast(fixed.select("group_id")), "group_id", "left_anti")
+    mixed = spread_join(sizes, small.select("group_id", "main"), "group_id").groupBy("main", "stratum").agg(F.sum("n")).collect()
+    fractions = _fractions(mixed, {k: max(0.0, v) for k, v in need.items()}, names, share)
     cuts = []
-    for f in per:
-        room = [max(0.0, need[f, n]) for n in names]
-        all_room, at = sum(room), 0.0
-        for n, r in zip(names, room):
-            if all_room > 0 and r > 0:
-                cuts.append((f, n, at, at + r / all_room))
-                at += r / all_room
-        if all_room <= 0:
-            cuts.append((f, max(names, key=lambda n: share[n]), 0.0, 1.0))
+    for f, row in fractions.items():
+        at = 0.0
+        for n, r in zip(names, row):
+            if r > 0:
+                cuts.append((f, n, at, at + r))
+                at += r
     # the last cut of each stratum is open above
-    last = {f: max(c[3] for c in cuts if c[0] == f) for f in per}
+    last = {f: max(c[3] for c in cuts if c[0] == f) for f in fractions}
     cuts = [(f, n, a, 2.0 if b >= last[f] else b) for f, n, a, b in cuts]
     bounds = F.broadcast(spark.createDataFrame(cuts, "main string, split_name string, __from double, __to double"))
-    fixed = spark.createDataFrame(list(placed.items()), "group_id long, split_name string")
-    small = groups.join(F.broadcast(fixed.select("group_id")), "group_id", "left_anti")
     ordered = prefix_sum(small, ["main"], F.xxhash64("group_id", F.lit(seed)), F.col("size"), "__before", tie="group_id")
     of_main = ordered.groupBy("main").agg(F.sum("size").alias("__all"))
     at = (F.col("__before") + F.col("size") / 2) / F.col("__all")
     cut_small = (
         ordered.join(F.broadcast(of_main), "main")  # at most MAX_STRATA rows
         .withColumn("__at", at)
-        .join(bounds, "main")
+        .join(bounds, "main")  # at most one row a split and stratum
         .where((F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to")))
         .select("group_id", "split_name")
     )
     return spread_join(rows, cut_small.unionByName(fixed), "group_id").select("row_id", "group_id", "stratum", "split_name")
 
 
+def _fractions(mixed: list, need: dict, names: list[str], share: dict) -> dict[str, list[float]]:
+    """The part of each main stratum that goes to each split so that strata come to their needs.
+
+    ``mixed`` holds the rows of every stratum in the groups of every main stratum (at most MAX_STRATA
+    squared numbers); proportions are fitted by iterative scaling.
+    """
+    mains, strata = sorted({r[0] for r in mixed}), sorted({r[1] for r in mixed})
+    if not mains:
+        return {}
+    m = np.zeros((len(mains), len(strata)))
+    for a, f, n in mixed:
+        m[mains.index(a), strata.index(f)] = n
+    want = np.array([[need[f, n] for n in names] for f in strata])
+    want = want * (m.sum(0) / np.maximum(want.sum(1), 1e-9))[:, None]
+    x = np.tile([share[n] for n in names], (len(mains), 1)) + 1e-9
+    weight = m / m.sum(1, keepdims=True)
+    for _ in range(300):
+        ratio = (want + 1e-9) / (m.T @ x + 1e-9)
+        x = x * (weight @ ratio)
+        x /= x.sum(1, keepdims=True)
+        # all rows together come first
+        x = x * ((want.sum(0) + 1e-9) / (m.sum(1) @ x + 1e-9))
+        x /= x.sum(1, keepdims=True)
+    return {a: [float(v) if v > 1e-7 else 0.0 for v in x[k]] for k, a in enumerate(mains)}
+
+
 def split_rows(df: DataFrame, keys: list[list[Column]], stratum: str, targets: list[tuple[str, float]]) -> DataFrame:
     """Group related rows and assign every row of ``df`` a split."""
     rows = one_delivery(df.select("row_id", F.col(stratum).alias("stratum")).where(F.col("row_id").isNotNull()))
