@@ -43,14 +43,14 @@ value <- { 'S' 'M' 'V' } / '[' ( value ( ',' value )* ','? )? ']' / '{' ( pair (
 """
 _TOML = Peg(TOML, "line")
 _TSTR = (
-    r'("""(?:[^\\"\x00-\x08\x0b\x0c\x0e-\x1f]|\\(?:[btnfre"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[ \t]*\n)|"{1,2}(?!"))*"{0,2}"""'
+    r'("""(?:[^\\"\x00-\x08\x0b\x0c\x0e-\x1f]|\\(?:[btnfr"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[ \t]*\n)|"{1,2}(?!"))*"{0,2}"""'
     r"|'''(?:[^'\x00-\x08\x0b\x0c\x0e-\x1f]|'{1,2}(?!'))*'{0,2}''')"
-    r'|("(?!"")(?:[^\\"\n\x00-\x08\x0b-\x1f]|\\(?:[btnfre"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*"|""'
+    r'|("(?!"")(?:[^\\"\n\x00-\x08\x0b-\x1f]|\\(?:[btnfr"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*"|""'
     r"|'(?!'')[^'\n\x00-\x08\x0b-\x1f]*'|'')"
 )
 _TVALUE = (
-    r"((?:true|false|[+-]?(?:inf|nan)|\d{4}-(?:0\d|1[0-2])-[0-3]\d(?:[Tt ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:[Zz]|[+-]\d\d:\d\d)?)?"
-    r"|(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?|0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*"
+    r"((?:true|false|[+-]?(?:inf|nan)|\d{4}-(?:0\d|1[0-2])-[0-3]\d(?:[Tt ](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)?)?"
+    r"|(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?|0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*"
     r"|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?)(?=[\s,\]}#]|$))"
 )
 _TCOMMON = r"|(#[^\n\x00-\x08\x0b-\x1f]*)|(\n)|[ \t]+|"

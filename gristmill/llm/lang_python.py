@@ -307,7 +307,7 @@ def parse(text: str) -> tuple[bool, int, str]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     kinds: list[str] = []
     starts = [0]  # where a statement at the left margin begins in kinds
-    indents = [0]
+    indents, alts = [0], [0]  # with tabs of eight and of one column: both must agree
     opened = 0
     seen = 0  # tokens before this line
     before: list[int] = []  # tokens before each symbol of kinds
@@ -365,20 +365,23 @@ def parse(text: str) -> tuple[bool, int, str]:
                 continue
         if not info[1]:
             return False, seen + info[2], "token"
-        col = len(margin)
+        col = alt = len(margin)
         if "\t" in margin or "\f" in margin:
-            col = len(margin.rpartition("\f")[2].expandtabs(8))
-        if col != indents[-1]:
-            if col > indents[-1]:
+            margin = margin.rpartition("\f")[2]
+            col, alt = len(margin.expandtabs(8)), len(margin)
+        if col != indents[-1] or alt != alts[-1]:
+            if col > indents[-1] and alt > alts[-1]:
                 indents.append(col)
+                alts.append(alt)
                 kinds.append(">")
                 before.append(seen)
             else:
                 while col < indents[-1]:
                     indents.pop()
+                    alts.pop()
                     kinds.append("<")
                     before.append(seen)
-                if col != indents[-1]:
+                if col != indents[-1] or alt != alts[-1]:
                     return False, seen, "indentation"
         if not col and info[1] not in "LlEeXxYyFf" and (not kinds or kinds[-1] != "@"):
             starts.append(len(kinds))

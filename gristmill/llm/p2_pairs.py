@@ -266,11 +266,9 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found.append("truncated")
                 elif hangs is None:
                     lines = [x.strip() for x in text.split("\n") if x.strip()]
-                    toks = tokens(text)
-                    open_end = True
-                    ctx = contexts(toks, len(toks))
-                    if len(lines) > 1 and CLOSINGS.match(lines[-2]) and len(lines[-1].split()) <= 3:
-                        ctx = ctx[:1]  # a name after a closing: it only has to be a known word
+                    if not (len(lines) > 1 and CLOSINGS.match(lines[-2]) and len(lines[-1].split()) <= 3):
+                        toks = tokens(text)  # (a name after a closing ends a letter)
+                        open_end, ctx = True, contexts(toks, len(toks))
             ids.append(i)
             defects.append(found)
             ends.append(open_end)
@@ -315,14 +313,14 @@ def defects(df: DataFrame, prompt: str, answer: str) -> DataFrame:
     judged = src.mapInArrow(_classify, "row_id long, defects array<string>, open_end boolean, last array<string>")
     judged = cut(judged)
     counts = src.select("a").mapInArrow(_counts, "ctx string, ended long, went_on long")
-    asked = judged.where("open_end").select("row_id", F.size("last").alias("__n"), F.posexplode("last").alias("k", "ctx"))
+    asked = judged.where("open_end").select("row_id", F.posexplode("last").alias("k", "ctx"))
     wanted = asked.select("ctx").distinct()
     totals = counts.join(wanted, "ctx", "left_semi").groupBy("ctx").agg(F.sum("ended").alias("e"), F.sum("went_on").alias("c"))
     known = asked.join(totals, "ctx", "left").withColumn("n", F.coalesce(F.col("e") + F.col("c"), F.lit(0)))
     word = F.max(F.when(F.col("k") == 0, F.col("n")))  # occurrences of the last word by itself
     longest = F.max(F.when((F.col("n") >= SUPPORT) | (F.col("k") == 0) & (F.col("n") > 0), F.struct("k", (F.col("e") / F.col("n")).alias("p"))))
-    verdict = known.groupBy("row_id").agg(word.alias("w"), longest["p"].alias("p"), F.max("__n").alias("__n"))
-    cut_off = verdict.where((F.col("w") == 0) | ((F.col("__n") > 1) & (F.col("p") < ENDS_AT_LEAST))).select("row_id", F.lit(True).alias("__cut"))
+    verdict = known.groupBy("row_id").agg(word.alias("w"), longest["p"].alias("p"))
+    cut_off = verdict.where((F.col("w") == 0) | (F.col("p") < ENDS_AT_LEAST)).select("row_id", F.lit(True).alias("__cut"))
     all_types = judged.join(cut_off, "row_id", "left").select(
         "row_id", F.when(F.col("__cut"), F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects")
     )
