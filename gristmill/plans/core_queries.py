@@ -74,5 +74,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_tasks, p4_found, p4_splits, p4_report, p5_found, p5_report)}
 
 
+_P3 = """WITH r AS (SELECT row_id, canonical_prompt AS p, entry_point AS e, "constraints" AS c FROM code_prompts WHERE canonical_prompt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ingested_at) = 1),
+ k AS (SELECT row_id, regexp_replace(lower(p), '[^\\p{L}\\p{N}]', '', 'g') AS kp, regexp_replace(lower(coalesce(e, '')), '[^\\p{L}\\p{N}]', '', 'g') AS ke,
+ CASE WHEN c IS NULL THEN NULL ELSE (SELECT list_sort(list(fullkey || ' ' || type || ' ' || coalesce(atom::VARCHAR, ''))) FROM json_tree(c)) END AS kc FROM r),
+ g AS (SELECT row_id, min(row_id) OVER (PARTITION BY kp, ke, kc) AS keep_id FROM k) """
+
+
+def _key(*cols: str) -> str:
+    clean = [f"regexp_replace(lower({c}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')" for c in cols]
+    bad = "('', 'unknown', 'n/a', 'none', 'anonymous', '-')"
+    return "CASE WHEN " + " AND ".join(f"{c} NOT IN {bad}" for c in clean) + " THEN " + " || chr(31) || ".join(clean) + " END"
+
+
+_P4 = f"""WITH RECURSIVE k AS (SELECT DISTINCT row_id, 'a' AS kind, {_key("meta.author")} AS key FROM general_prompts UNION SELECT row_id, 's', {_key("meta.parent_seed_id")} FROM general_prompts
+ UNION SELECT row_id, 'k', {_key("source", "source_key")} FROM general_prompts), e AS (SELECT DISTINCT a.row_id AS u, b.row_id AS v FROM k a JOIN k b USING (kind, key)),
+ r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT min(v) AS group_id, u AS row_id FROM r GROUP BY u HAVING min(v) < u"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _P4, "p3_found": _P3 + "SELECT keep_id, row_id AS copy_id FROM g WHERE keep_id < row_id"}
