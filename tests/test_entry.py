@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def views():
 
 def _rows(pdf):
     pdf = pdf[sorted(pdf.columns)].astype(object)
-    return sorted(tuple("null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in pdf.itertuples(index=False))
+    return sorted(tuple("null" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in pdf.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
