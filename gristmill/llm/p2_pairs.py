@@ -177,8 +177,10 @@ def copied(prompt: str, answer: str) -> bool:
         if len(want) < 3 or abs(len(want) - len(got)) > 0.2 * max(len(want), len(got)) + 1:
             continue
         both = _common(want, got)
+        if len(got) - both > max(1, 0.1 * len(got)) or len(want) - both > max(1, 0.15 * len(want)):
+            continue
         new = [w for w in (Counter(got) - Counter(want)).elements() if not any(_near(w, x) for x in want)]
-        if len(got) - both <= max(1, 0.1 * len(got)) and len(want) - both <= max(1, 0.15 * len(want)) and len(new) <= 0.05 * len(got) and not any(c.isdigit() for w in new for c in w):
+        if len(new) <= 0.05 * len(got) and not any(c.isdigit() for w in new for c in w):
             return True
     return False
 
