@@ -165,24 +165,57 @@ def _common(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def _gives_back(want: list[str], got: list[str]) -> bool:
+    """Whether ``got`` is the words of a source, once or over and over, with nothing new but slips."""
+    if len(want) < 3:
+        return False
+    known = set(want)
+    if sum(w not in known for w in got) > max(1, 0.1 * len(got)):
+        return False  # the common subsequence can't be long enough
+    if abs(len(want) - len(got)) > 0.2 * max(len(want), len(got)) + 1:
+        if len(got) < len(want):
+            return False
+        want = (want * (len(got) // len(want) + 1))[: len(got)]  # the last repetition may break off
+    both = _common(want, got)
+    if len(got) - both > max(1, 0.1 * len(got)) or len(want) - both > max(1, 0.15 * len(want)):
+        return False
+    new = [w for w in (Counter(got) - Counter(want)).elements() if not any(_near(w, x) for x in known)]
+    return len(new) <= 0.05 * len(got) and not any(c.isdigit() for w in new for c in w)
+
+
+def _is_copy(sources: list[list[str]], text: str) -> bool:
+    bare = text.strip().strip("\"'“”«»„>*`").strip()
+    starts = {bare, re.sub(r"^[^\n:：]{1,30}[:：]\s*", "", bare)}  # with and without a label in front
+    readings = [got for got in map(words_of, starts) if got]
+    return any(_gives_back(want, got) for want in sources for got in readings)
+
+
 def copied(prompt: str, answer: str) -> bool:
-    """Whether the answer is the prompt, its instruction or its text again, with nothing new."""
-    bare = answer.strip().strip("\"'“”«»„>*`").strip()
+    """Whether the answer is the prompt, its instruction or its text again, with nothing new.
+
+    It may hold them several times: as one run of words, or line by line, where every line or run of lines
+    must be a copy.
+    """
     head, tail = parts(prompt)
-    starts = {bare, re.sub(r"^[^\n:：]{1,30}[:：]\s*", "", bare)}  # with and without a label in front
-    for source, got in [(s, words_of(b)) for s in (prompt, tail, head) for b in starts]:
-        if not got:
-            continue
-        want = words_of(source)
-        if len(want) < 3 or abs(len(want) - len(got)) > 0.2 * max(len(want), len(got)) + 1:
-            continue
-        both = _common(want, got)
-        if len(got) - both > max(1, 0.1 * len(got)) or len(want) - both > max(1, 0.15 * len(want)):
-            continue
-        new = [w for w in (Counter(got) - Counter(want)).elements() if not any(_near(w, x) for x in want)]
-        if len(new) <= 0.05 * len(got) and not any(c.isdigit() for w in new for c in w):
-            return True
-    return False
+    sources = [words_of(s) for s in (prompt, tail, head)]
+    if _is_copy(sources, answer):
+        return True
+    lines = [x for x in answer.split("\n") if has_content(x)]
+    if len(lines) < 2:
+        return False
+    sizes = [len(words_of(x)) for x in lines]
+    longest = 1.25 * max(map(len, sources)) + 2 + 15  # (a label has at most 15 words)
+    reached = {0}  # all lines before these are copies
+    for i in range(len(lines)):
+        j, size = i + 1, sizes[i]
+        while i in reached and j <= len(lines):
+            if _is_copy(sources, "\n".join(lines[i:j])):
+                reached.add(j)
+            size += sizes[j] if j < len(lines) else 0
+            j += 1
+            if size > longest:
+                break
+    return len(lines) in reached
 
 
 def _near(a: str, b: str) -> bool:

@@ -103,6 +103,15 @@ def test_pairs(spark):
     assert p2_pairs.defects(df.limit(0), "prompt", "answer").count() == 0
 
 
+def test_prompts_given_back_several_times():
+    ask = "Turn this into 3 short bullets: After 342 steps the memory was almost empty. Bettina needs the numbers."
+    text, two = ask.partition(": ")[2], "Rewrite this.\n\nText: After 342 steps the memory was almost empty."
+    assert p2_pairs.copied(ask, f"{ask}\n\n{ask}") and p2_pairs.copied(ask, f"{ask} {ask}\n{ask}") and p2_pairs.copied(two, f"{two}\n\n{two}")
+    assert p2_pairs.copied(ask, f"{ask}\n\n{text}") and p2_pairs.copied(ask, f"Question: {ask}\nQuestion: {ask}") and p2_pairs.copied(ask, f"{ask}\n---\n{ask[:60]}")
+    assert not p2_pairs.copied(ask, f"{ask}\n\nThe memory is nearly empty now, so send Bettina the figures.")
+    assert not p2_pairs.copied(ask, f"{ask}\n\n{ask.replace('342', '343')}") and not p2_pairs.copied(ask, ask[:60])
+
+
 def test_packing(spark):
     rng = random.Random(2)
     sizes = [(i, rng.choice([0, 3, 10, 17, 64, 100, 200, 333])) for i in range(500)]
