@@ -74,10 +74,15 @@ def greedy_keep(pairs: DataFrame, rows: DataFrame, row_id: str = "row_id", round
     """Rows kept by the greedy rule: keep a row unless a kept earlier row is similar to it.
 
     Rounds settle every row whose earlier neighbours are all settled; the result equals the sequential rule.
+    Pairs marked ``exact`` link a class of copies to its first row only (see :func:`similar_pairs`): what
+    drops the first row drops its copies too, and else the first row does, so they never stay.
     """
-    edges = cut(pairs.select("a", "b"))
+    exact = F.col("exact") if "exact" in pairs.columns else F.lit(False)
+    pairs = cut(pairs.select("a", "b", exact.alias("exact")))
+    copies = pairs.where("exact").select(F.col("b").alias("v")).distinct()
+    edges = pairs.where("NOT exact").select("a", "b")
     open_rows = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct())
-    dropped = open_rows.limit(0)
+    dropped = copies
     for _ in range(rounds):
         waiting = edges.join(open_rows.withColumnRenamed("v", "a"), "a", "left_semi").join(open_rows.withColumnRenamed("v", "b"), "b", "left_semi")
         keep = open_rows.join(waiting.select(F.col("b").alias("v")).distinct(), "v", "left_anti")

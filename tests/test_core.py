@@ -190,6 +190,13 @@ def test_similar_pairs_and_greedy(spark):
     assert kept == {1, 3, 5, 6, 7}
 
 
+def test_copies_of_a_dropped_row_are_dropped(spark):
+    sets = [(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4]), (3, [1, 2, 3, 4]), (4, [1, 2, 3, 4]), (5, [8, 9]), (6, [8, 9])]
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets], "row_id long, s array<string>")
+    kept = {r.row_id for r in rows.greedy_keep(rows.similar_pairs(df, "s", 0.8), df).collect()}
+    assert kept == {1, 5}
+
+
 def test_blocks_and_masks(spark):
     df = spark.createDataFrame([(i, "a", list(range(i * 10, i * 10 + i))) for i in range(8)], "row_id long, s string, ids array<int>")
     flat = [x for i in range(8) for x in range(i * 10, i * 10 + i)]
