@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,27 +74,49 @@ def similar_pairs(df: DataFrame, shingles: str, threshold: float, block: str | N
     return near.select("a", "b", "similarity", F.lit(False).alias("exact")).unionByName(exact)
 
 
-def greedy_keep(pairs: DataFrame, rows: DataFrame, row_id: str = "row_id", rounds: int = 50) -> DataFrame:
+#: At most this many pairs among open rows are settled in one task.
+SMALL_PAIRS = 500_000
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that the greedy rule drops, row by row."""
+    earlier, kind = defaultdict(list), None
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            earlier[b].append(a)
+    dropped: set = set()
+    for b in sorted(earlier):
+        if any(a not in dropped for a in earlier[b]):
+            dropped.add(b)
+    if dropped:
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(dropped), kind)], names=["v"])
+
+
+def greedy_keep(pairs: DataFrame, rows: DataFrame, row_id: str = "row_id", small_pairs: int = SMALL_PAIRS) -> DataFrame:
     """Rows kept by the greedy rule: keep a row unless a kept earlier row is similar to it.
 
-    Rounds settle every row whose earlier neighbours are all settled; the result equals the sequential rule.
+    Each round keeps the rows without an open earlier neighbour, at least the smallest, and drops their
+    neighbours; when at most ``small_pairs`` pairs are left among open rows, one task settles them in order.
+    Rounds go on until no pair is open, so the result equals the sequential rule.
     Pairs marked ``exact`` link a class of copies to its first row only (see :func:`similar_pairs`): what
     drops the first row drops its copies too, and else the first row does, so they never stay.
     """
     exact = F.col("exact") if "exact" in pairs.columns else F.lit(False)
     pairs = cut(pairs.select("a", "b", exact.alias("exact")))
-    copies = pairs.where("exact").select(F.col("b").alias("v")).distinct()
-    edges = pairs.where("NOT exact").select("a", "b")
-    open_rows = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct())
-    dropped = copies
-    for _ in range(rounds):
-        waiting = edges.join(open_rows.withColumnRenamed("v", "a"), "a", "left_semi").join(open_rows.withColumnRenamed("v", "b"), "b", "left_semi")
-        keep = open_rows.join(waiting.select(F.col("b").alias("v")).distinct(), "v", "left_anti")
-        gone = cut(edges.join(keep.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct().join(open_rows, "v", "left_semi"))
-        dropped = dropped.unionByName(gone)
-        open_rows = cut(open_rows.join(keep, "v", "left_anti").join(gone, "v", "left_anti"))
-        if open_rows.isEmpty():
+    dropped = pairs.where("exact").select(F.col("b").alias("v")).distinct()
+    edges, done = pairs.where("NOT exact").select("a", "b"), 0
+    while n := edges.count():
+        if n <= small_pairs:
+            gone = cut(edges.coalesce(1).mapInArrow(_settle, f"v {edges.schema['a'].dataType.simpleString()}"))
+            dropped = dropped.unionByName(gone)
             break
+        first = edges.select(F.col("a").alias("v")).distinct().join(edges.select(F.col("b").alias("v")), "v", "left_anti")
+        gone = cut(edges.join(first.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct())
+        edges = cut(edges.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select("a", "b"))
+        dropped, done = dropped.unionByName(gone), done + 1
+        if done % 16 == 0:
+            dropped = cut(dropped)  # the plan stays short
     return rows.join(dropped.withColumnRenamed("v", row_id), row_id, "left_anti")
 
 

@@ -197,6 +197,24 @@ def test_copies_of_a_dropped_row_are_dropped(spark):
     assert kept == {1, 5}
 
 
+def test_greedy_settles_long_chains(spark):
+    df, chain = spark.range(1, 301).withColumnRenamed("id", "row_id"), [(i, i + 1) for i in range(1, 300)]
+    kept = {r.row_id for r in rows.greedy_keep(spark.createDataFrame(chain, "a long, b long"), df).collect()}
+    assert kept == set(range(1, 301, 2))
+
+
+def test_greedy_rounds_equal_the_sequential_rule(spark):
+    rng = random.Random(9)
+    pairs = {(i, i + 1) for i in range(1, 36)} | {tuple(sorted(rng.sample(range(100, 160), 2))) for _ in range(90)}
+    want: set[int] = set()
+    for v in range(1, 160):
+        if not any((u, v) in pairs for u in want):
+            want.add(v)
+    df = spark.range(1, 160).withColumnRenamed("id", "row_id")
+    kept = {r.row_id for r in rows.greedy_keep(spark.createDataFrame(sorted(pairs), "a long, b long"), df, small_pairs=0).collect()}
+    assert kept == want
+
+
 def test_blocks_and_masks(spark):
     df = spark.createDataFrame([(i, "a", list(range(i * 10, i * 10 + i))) for i in range(8)], "row_id long, s string, ids array<int>")
     flat = [x for i in range(8) for x in range(i * 10, i * 10 + i)]
