@@ -7,7 +7,7 @@ sentence or line elsewhere in the answers: counts of one to three words over all
 
 Defined results: a null or blank answer, or one without a letter or digit, is ``empty``; a null prompt can
 be neither copied nor the measure of a language; an answer without words of a known language has none;
-repeated rows give one result; texts of any length are read whole.
+repeated rows give one result; texts of any length are read whole (long ones decline a task at their start).
 """
 
 from __future__ import annotations
@@ -229,9 +229,21 @@ def _near(a: str, b: str) -> bool:
     return _common([*a], [*b]) >= max(len(a), len(b)) - 1
 
 
+#: A greeting that names nobody: the answerer speaks.
+_UNNAMED = re.compile(r"^(?:hi|hello|hey|hallo|guten (?:tag|morgen|abend)|bonjour|salut|hola)(?: there)?,\s*\n", re.I)
+_SENTENCE_END = re.compile(r"(?<=[.!?…؟۔])\s+|(?<=[。！？।])|\n+")
+
+
 def refused(answer: str) -> bool:
-    """Whether the opening of the answer declines the task."""
-    return not _GREETING.match(answer) and len(answer) < 600 and _REFUSE.search(answer) is not None
+    """Whether the answer declines the task: a short one anywhere, one of 600 or more characters in its first
+    three sentences (later on, such words belong to the text). A letter to somebody named is what was asked for."""
+    if _GREETING.match(answer):
+        if not _UNNAMED.match(answer) or any(CLOSINGS.match(x.strip()) for x in answer.split("\n")):
+            return False
+        answer = _UNNAMED.sub("", answer).strip()
+    if len(answer) >= 600:
+        answer = "\n".join([x for x in _SENTENCE_END.split(answer) if has_content(x)][:3])
+    return _REFUSE.search(answer) is not None
 
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|\w+(?:[.'’-]\w+)*|\n\s*(?:[-*•–]|\d+[.)])?[ \t]*|[^\w\s]")

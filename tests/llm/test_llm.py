@@ -112,6 +112,15 @@ def test_prompts_given_back_several_times():
     assert not p2_pairs.copied(ask, f"{ask}\n\n{ask.replace('342', '343')}") and not p2_pairs.copied(ask, ask[:60])
 
 
+def test_long_refusals():
+    no = "I'm sorry, but I can't help with that request."
+    reasons = " The text names a private person and gives an address, so it stays closed." * 12
+    assert p2_pairs.refused(no + reasons) and p2_pairs.refused("Thanks for asking. " + no + reasons) and p2_pairs.refused(f"Hello,\n\n{no}")
+    assert p2_pairs.refused("Je ne peux pas répondre à cette demande." + reasons)
+    assert not p2_pairs.refused(reasons.strip() + " The clerk said: " + no)
+    assert not p2_pairs.refused(f"Hi Ugo,\n\n{no}\n\nThanks,\nTavin") and not p2_pairs.refused(f"Hello,\n\n{no}\n\nThanks,\nTavin")
+
+
 def test_packing(spark):
     rng = random.Random(2)
     sizes = [(i, rng.choice([0, 3, 10, 17, 64, 100, 200, 333])) for i in range(500)]
