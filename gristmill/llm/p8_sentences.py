@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A sentence holds at most this many possible ends inside (the look-back of the dynamic program).
-LOOK_BACK = 64
+#: From this size on, a longer span never scores more (see ``_length``).
+FAR = 80
 
 _LINE = re.compile(r"[^\r\n\x0b\x0c\x85  ]*(?:\r\n|[\r\n\x0b\x0c\x85  ]|\Z)")
 _FENCE = re.compile(r"\s{0,3}(```+|~~~+)")
@@ -316,7 +316,11 @@ def _speaks(s: str, nxt: int) -> bool:
 
 
 def _best(s: str, first: int, body: int, n: int, ends: list[tuple[int, int, float, int]]) -> list[tuple[int, int]]:
-    """Semi-Markov dynamic program over the candidate ends."""
+    """Semi-Markov dynamic program over the candidate ends, back to the first.
+
+    Of the starts at least ``FAR`` behind, only those count that no later one equals or beats; they stand
+    in falling order, so the rest is passed over as soon as its scores can't win.
+    """
     stops = [(first, first, 0.0, -1), *[e for e in ends if e[2] > -9], (n, n, 0.0, -1)]
     begins = {body} | {e[1] for e in ends if e[2] > 0}
     for k, (end, nxt, score, head) in enumerate(stops):
@@ -324,15 +328,32 @@ def _best(s: str, first: int, body: int, n: int, ends: list[tuple[int, int, floa
             stops[k] = (end, nxt, -20.0, head)  # the head of a sentence that goes on with its speaker
     best = [0.0] + [-1e18] * (len(stops) - 1)
     back = [0] * len(stops)
+    starts = [body, *(e[1] for e in stops[1:])]
+    ordered = all(x <= y for x, y in zip(starts, starts[1:]))
+    far: list[int] = []
+    passed = 0  # starts before this one are far
     for j in range(1, len(stops)):
         end, _, score, _ = stops[j]
-        for i in range(j - 1, max(-1, j - 1 - LOOK_BACK), -1):
-            start = body if i == 0 else stops[i][1]
-            if start >= end:
+        while ordered and passed < j and starts[passed] + FAR <= end:
+            while far and best[far[-1]] <= best[passed]:
+                far.pop()
+            far.append(passed)
+            passed += 1
+        for i in range(j - 1, passed - 1, -1):
+            if starts[i] >= end:
                 continue
-            got = best[i] + score + _length(s, start, end, j == len(stops) - 1)
+            got = best[i] + score + _length(s, starts[i], end, j == len(stops) - 1)
             if got > best[j]:
                 best[j], back[j] = got, i
+        top, at = -1e18, 0
+        for i in far:
+            if best[i] + score < top:
+                break
+            got = best[i] + score + _length(s, starts[i], end, j == len(stops) - 1)
+            if got >= top:
+                top, at = got, i
+        if top > best[j]:
+            best[j], back[j] = top, at
     out, j = [], len(stops) - 1
     while j:
         i = back[j]
@@ -343,7 +364,7 @@ def _best(s: str, first: int, body: int, n: int, ends: list[tuple[int, int, floa
 
 def _length(s: str, start: int, end: int, last: bool) -> float:
     size = end - start
-    if size < 80 and _THAI.search(s, start, end):
+    if size < FAR and _THAI.search(s, start, end):
         thai = len(_THAI.findall(s, start, end))
         return -3.0 if thai < 10 and not last else -1.5 if thai < 14 else 0.0
     if size <= 3:
