@@ -2,10 +2,16 @@
 
 The mixture's size is the largest at which every source with documents can give its share without using
 a document more often than allowed. A source then needs r = need / supply uses of each document: floor(r)
-for all of them and one more for a balanced sample of inclusion probability r - floor(r). The flight phase
-moves three probabilities at a time along the null space of the token and document constraints until one of
-them is 0 or 1; partitions fly on their own, the few undecided documents of each are flown again together,
-and the last ``LANDING`` of a source are decided by the best of all their combinations.
+for all of them and one more for a balanced sample of inclusion probability r - floor(r).
+
+Flight: three probabilities at a time move along the null space of the token and document constraints until
+one of them is 0 or 1. Partitions fly on their own, the longest documents first; the ``STAY`` to ``MOST``
+undecided documents of each partition and source are flown again together, level by level, until one task a
+source holds all that are left (at most ``FAN_IN * MOST``, whatever the input). There the flight goes on.
+Landing: where the other undecided documents could soon no longer make up for the longest one, the document
+constraint is dropped for it (it is drawn by its probability and the others make up its tokens), and the last
+``LANDING`` documents are decided by the best of all their combinations. The same holds at every size;
+column ``stage`` of :func:`mix` tells where a document was decided.
 
 Defined results: sources without documents, and targets with no positive weight, get nothing and the other
 shares are relative to each other; sources without a target (null too) are not used; documents without
@@ -25,61 +31,161 @@ from pyspark.sql import functions as F
 
 from ..common import cut
 
-LANDING = 14
+LANDING = 24
+STAY, MOST = 64, 512
 FAN_IN = 32
-#: At most so many documents of a source are decided one by one on the driver.
-GIANTS = 2_000
 _EPS = 1e-9
 
 
-def fly(units: list[list], stay: int, rng: random.Random) -> list[list]:
-    """Move ``[id, tokens, probability]`` units until at most ``stay`` are undecided; all are given back."""
-    done, active = [], []
-    queue = iter(units)
-    while True:
-        while len(active) < max(3, stay + 1):
-            u = next(queue, None)
-            if u is None:
-                break
-            (active if _EPS < u[2] < 1 - _EPS else done).append(u)
-        if len(active) <= stay or len(active) < 3:
-            return done + active
-        trio = active[:3]
-        t = [u[1] for u in trio]
-        move = [t[2] - t[1], t[0] - t[2], t[1] - t[0]]
-        if not any(move):
-            move = [1, -1, 0]
-        up = min(((1 - u[2]) / m if m > 0 else u[2] / -m) for u, m in zip(trio, move) if m)
-        down = min((u[2] / m if m > 0 else (1 - u[2]) / -m) for u, m in zip(trio, move) if m)
-        step = up if rng.random() * (up + down) < down else -down
-        for u, m in zip(trio, move):
-            u[2] = min(1.0, max(0.0, u[2] + step * m))
-        active = [u for u in active if _EPS < u[2] < 1 - _EPS] + [u for u in active if not _EPS < u[2] < 1 - _EPS]
-        while active and not _EPS < active[-1][2] < 1 - _EPS:
-            done.append(active.pop())
+def _open(u: list) -> bool:
+    return _EPS < u[2] < 1 - _EPS
+
+
+def _step(active: list[list], rng: random.Random) -> list[list]:
+    """One move of the longest, the next and the shortest unit; the ones it decides leave ``active``."""
+    at = (0, 1, len(active) - 1)
+    trio = [active[i] for i in at]
+    t = [u[1] for u in trio]
+    move = [t[2] - t[1], t[0] - t[2], t[1] - t[0]]
+    if not any(move):
+        move = [1, -1, 0]
+    up = min(((1 - u[2]) / m if m > 0 else u[2] / -m) for u, m in zip(trio, move) if m)
+    down = min((u[2] / m if m > 0 else (1 - u[2]) / -m) for u, m in zip(trio, move) if m)
+    step = up if rng.random() * (up + down) < down else -down
+    for u, m in zip(trio, move):
+        u[2] = min(1.0, max(0.0, u[2] + step * m))
+    gone = []
+    for i, u in zip(reversed(at), reversed(trio)):
+        if not _open(u):
+            gone.append(u)
+            del active[i]
+    return gone
+
+
+class _Air:
+    """Undecided units of a source, the longest first, with their tokens expected in and out of the mixture.
+
+    ``spare`` units don't move but count."""
+
+    def __init__(self, units: list[list], spare: list[list] = []):  # noqa: B006 - never changed
+        self.units = units
+        self.inside = sum(u[1] * u[2] for u in (*units, *spare))
+        self.outside = sum(u[1] * (1 - u[2]) for u in (*units, *spare))
+
+    def add(self, u: list) -> None:
+        self.units.append(u)
+        self.inside += u[1] * u[2]
+        self.outside += u[1] * (1 - u[2])
+
+    def needs(self) -> tuple[float, float, float, float]:
+        """Tokens the others give and must give if the longest comes in; their room and its need if it stays out."""
+        t, p = self.units[0][1:3]
+        return self.inside - p * t, (1 - p) * t, self.outside - (1 - p) * t, p * t
+
+    def balanced(self) -> bool:
+        """Whether the others, also without the next longest, can make up for the longest, twice over."""
+        give, more, room, less = self.needs()
+        t, p = self.units[1][1:3]
+        return give - p * t > 2 * more and room - (1 - p) * t > 2 * less
+
+    def step(self, rng: random.Random) -> list[list]:
+        gone = _step(self.units, rng)
+        for u in gone:
+            if u[2] > 0.5:
+                self.inside -= u[1]
+            else:
+                self.outside -= u[1]
+        return gone
+
+
+def fly(units: list[list], stay: int, rng: random.Random, most: int = 0) -> list[list]:
+    """Move ``[id, tokens, probability]`` units, the longest first, until at most ``stay`` are undecided (up to
+    ``most`` where the longest of them could not be balanced by the others); all are given back."""
+    done, air = [], _Air([])
+    for u in units:
+        if not _open(u):
+            done.append(u)
+            continue
+        air.add(u)
+        n = len(air.units)
+        if n > max(stay, 2) and (n > most or air.balanced()):
+            done += air.step(rng)
+    return done + air.units
 
 
 def land(units: list[list]) -> None:
-    """Decide the last units so that their tokens come nearest to the expected total."""
+    """Decide the last units so that their tokens come nearest to the expected total, then their number.
+
+    All combinations count: the sums of one half are searched for the best partner of each sum of the other.
+    """
     if not units:
         return
     t = np.array([u[1] for u in units], float)
     p = np.array([u[2] for u in units])
-    picks = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
-    error = np.abs(picks @ t - p @ t) + 1e-3 * np.abs(picks.sum(1) - p.sum()) * t.mean()
-    for u, k in zip(units, picks[int(error.argmin())]):
+    h = len(units) // 2
+    left = (np.arange(1 << h)[:, None] >> np.arange(h)) & 1
+    right = (np.arange(1 << (len(units) - h))[:, None] >> np.arange(len(units) - h)) & 1
+    ls, rs = left @ t[:h], right @ t[h:]
+    order = np.argsort(rs, kind="stable")
+    near = np.searchsorted(rs[order], p @ t - ls)
+    best = None
+    for k in (near - 1, near):
+        pick = order[np.clip(k, 0, len(order) - 1)]
+        error = np.abs(ls + rs[pick] - p @ t)
+        number = np.abs(left.sum(1) + right[pick].sum(1) - p.sum())
+        i = int(np.lexsort((number, np.round(error)))[0])
+        got = (round(float(error[i])), float(number[i]), [*left[i], *right[pick[i]]])
+        best = got if best is None or got[:2] < best[:2] else best
+    for u, k in zip(units, best[2]):
         u[2] = float(k)
 
 
-def _flight(stay: int, seed: int, final: bool):  # noqa: ANN202
+def _spare(units: list[list]) -> list[list]:
+    """Up to ``LANDING - 4`` units of different sizes among the shorter half, so that combinations differ finely."""
+    sizes = {u[1]: u for u in units[len(units) // 2 :]}
+    each = [sizes[t] for t in sorted(sizes)]
+    n = LANDING - 4
+    return each if len(each) <= n else [each[i * len(each) // n] for i in range(n)]
+
+
+def settle(units: list[list], rng: random.Random) -> list[list]:
+    """Decide all units of a source; the ones that were landed (drawn or combined) are given back."""
+    ordered = sorted((u for u in units if _open(u)), key=lambda u: (-u[1], u[0]))
+    spare = _spare(ordered)
+    held = {u[0] for u in spare}
+    air = _Air([u for u in ordered if u[0] not in held], spare)
+    landed: list[list] = []
+    while len(air.units) + len(spare) > LANDING and len(air.units) > 2:
+        if air.balanced():
+            air.step(rng)
+            continue
+        long, *rest = air.units
+        give, more, room, less = air.needs()
+        take = rng.random() < long[2]
+        take = take if (give >= more if take else room >= less) else not take
+        keep = max(0.0, give - more) / give if take and give else max(0.0, room - less) / room if room else 0.0
+        for u in (*rest, *spare):
+            u[2] = u[2] * keep if take else 1 - (1 - u[2]) * keep
+        long[2] = float(take)
+        landed += [long, *(u for u in (*rest, *spare) if not _open(u))]
+        spare = [u for u in spare if _open(u)]
+        air = _Air([u for u in rest if _open(u)], spare)
+    land(air.units + spare)
+    return landed + air.units + spare
+
+
+_FLOWN = "doc_id long, source string, n_tokens long, chance double, stage string"
+
+
+def _flight(seed: int, level: int, final: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         rngs: dict[str, random.Random] = {}
         held: dict[str, list[list]] = {}
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "source", "n_tokens", "chance"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "source", "n_tokens", "chance", "stage"])
 
         for b in batches:
             new: dict[str, list[list]] = {}
@@ -87,15 +193,17 @@ def _flight(stay: int, seed: int, final: bool):  # noqa: ANN202
                 new.setdefault(source, []).append([doc, tokens, chance])
             rows = []
             for source, units in new.items():
-                rng = rngs.setdefault(source, random.Random(f"{seed}/{part}/{source}"))
-                flown = fly(held.get(source, []) + units, stay, rng)
-                held[source] = [u for u in flown if _EPS < u[2] < 1 - _EPS]
-                rows += [(u[0], source, u[1], round(u[2])) for u in flown if not _EPS < u[2] < 1 - _EPS]
+                if final:
+                    held.setdefault(source, []).extend(units)
+                    continue
+                rng = rngs.setdefault(source, random.Random(f"{seed}/{level}/{part}/{source}"))
+                flown = fly(held.get(source, []) + units, STAY, rng, MOST)
+                held[source] = [u for u in flown if _open(u)]
+                rows += [(u[0], source, u[1], float(round(u[2])), f"flight {level}") for u in flown if not _open(u)]
             yield out(rows)
-        for units in held.values():
-            if final:
-                land(units)
-        yield out([(u[0], s, u[1], u[2]) for s, units in held.items() for u in units])
+        for source, units in held.items():
+            landed = {u[0] for u in settle(units, random.Random(f"{seed}/{source}"))} if final else set()
+            yield out([(u[0], source, u[1], float(round(u[2])) if final else u[2], "landing" if u[0] in landed else f"flight {level}") for u in units])
 
     return run
 
@@ -111,7 +219,7 @@ def quotas(supply: dict[str, tuple[int, int]], targets: list[tuple[str, float, i
 
 
 def mix(documents: DataFrame, targets: list[tuple[str, float, int]], seed: int = 17) -> tuple[DataFrame, dict[str, tuple[float, float]], dict[str, tuple[int, int]]]:
-    """``doc_id, source, n_tokens, times`` of the mixture from ``doc_id, source, n_tokens``; quotas; supply."""
+    """``doc_id, source, n_tokens, times, stage`` of the mixture from ``doc_id, source, n_tokens``; quotas; supply."""
     spark = documents.sparkSession
     names = spark.createDataFrame([(s,) for s in {t[0] for t in targets if t[0] is not None}], "source string")
     docs = documents.where(F.col("n_tokens") > 0).join(F.broadcast(names), "source", "left_semi")  # one row a target
@@ -120,63 +228,35 @@ def mix(documents: DataFrame, targets: list[tuple[str, float, int]], seed: int =
     need = quotas(supply, targets)
     most = {s: m for s, _, m in targets}
     rates = [(s, *_rate(q / supply[s][0], most[s])) for s, (_, q) in need.items()]
-    known = F.broadcast(spark.createDataFrame(rates, "source string, base int, chance double"))
+    known = F.broadcast(spark.createDataFrame(rates, "source string, base int, chance double"))  # one row a target
     placed = docs.join(known, "source")
-    sure = placed.where(F.col("chance") == 0).select("doc_id", "source", "n_tokens", F.col("base").alias("times"))
-    todo = placed.where(F.col("chance") > 0).select("doc_id", "source", "n_tokens", "chance")
-    schema = "doc_id long, source string, n_tokens long, chance double"
-    # the longest documents, at most GIANTS a source, are decided first; the chance of the others makes up for them
-    limits = [(s, int(max(c * supply[s][0] / 200, supply[s][0] / GIANTS)) + 1) for s, _, c in rates if c > 0]
-    if not limits:
+    sure = placed.where(F.col("chance") == 0).select("doc_id", "source", "n_tokens", F.col("base").alias("times"), F.lit("all alike").alias("stage"))
+    if not any(c > 0 for _, _, c in rates):
         return sure.where(F.col("times") > 0), need, supply
-    sized = todo.join(F.broadcast(spark.createDataFrame(limits, "source string, __limit long")), "source")
-    is_giant = F.col("n_tokens") >= F.col("__limit")
-    giants: dict[str, list[list]] = {}
-    for r in sized.where(is_giant).select("source", "doc_id", "n_tokens", "chance").orderBy("source", F.desc("n_tokens"), "doc_id").collect():
-        giants.setdefault(r[0], []).append([r[1], r[2], r[3]])
-    chances = {s: c for s, _, c in rates}
-    small = []
-    for s, _ in limits:
-        want, own = chances[s] * supply[s][0], giants.get(s, [])
-        left = supply[s][0] - sum(u[1] for u in own)
-        _settle(own, want, left, random.Random(f"{seed}/{s}"))
-        rest = want - sum(u[1] for u in own if u[2] > 0.5)
-        small.append((s, min(1.0, max(0.0, rest / left)) if left else 0.0))
-    rows = [(u[0], s, u[1], u[2]) for s, own in giants.items() for u in own]
-    decided = spark.createDataFrame(rows, schema)
-    others = F.broadcast(spark.createDataFrame(small, "source string, chance double"))
-    todo = sized.where(~is_giant).drop("chance", "__limit").join(others, "source").select("doc_id", "source", "n_tokens", "chance")
-    parts, stay, level = max(1, docs.rdd.getNumPartitions()), LANDING, 0
+    todo = placed.where(F.col("chance") > 0).select("doc_id", "source", "n_tokens", "chance")
+    flown_by, level, decided = 0, 0, None
     while True:
-        final = parts == 1
-        # the longest documents first: the last ones, which can't all fly, are then the shortest
-        ready = (todo.coalesce(1) if final else todo).sortWithinPartitions(F.desc("n_tokens"), "doc_id")
-        flown = cut(ready.mapInArrow(_flight(stay, seed + level, final), schema))
+        final = 0 < flown_by <= FAN_IN
+        if final:
+            ready = todo.repartition(min(FAN_IN, len(rates)), "source")
+        else:
+            if flown_by:
+                flown_by = -(-flown_by // FAN_IN)
+                todo = todo.repartition(flown_by, F.xxhash64("doc_id"))
+            else:
+                flown_by = max(1, docs.rdd.getNumPartitions())
+            # the longest documents first, so that those left over are the shortest and can make up for the last long ones
+            ready = todo.sortWithinPartitions(F.desc("n_tokens"), "doc_id")
+        flown = cut(ready.mapInArrow(_flight(seed, level, final), _FLOWN))
         settled = flown.where(F.col("chance").isin(0.0, 1.0))
-        decided = decided.unionByName(settled)
+        decided = settled if decided is None else decided.unionByName(settled)
         if final:
             break
-        parts, level = max(1, parts // FAN_IN), level + 1
-        todo = flown.where(~F.col("chance").isin(0.0, 1.0))
-        todo = todo.repartition(parts, F.xxhash64("doc_id")) if parts > 1 else todo
-    drawn = decided.join(known.drop("chance"), "source").select("doc_id", "source", "n_tokens", (F.col("base") + F.col("chance")).cast("int").alias("times"))
+        todo, level = flown.where(~F.col("chance").isin(0.0, 1.0)).drop("stage"), level + 1
+    drawn = decided.join(known.drop("chance"), "source").select("doc_id", "source", "n_tokens", (F.col("base") + F.col("chance")).cast("int").alias("times"), "stage")
     return sure.unionByName(drawn).where(F.col("times") > 0), need, supply
 
 
-def _settle(units: list[list], want: float, left: float, rng: random.Random) -> None:
-    """Decide the giants of a source so that the other documents, of ``left`` tokens, can make up the rest."""
-    flown = fly(units, LANDING, rng)
-    for u in flown:
-        u[2] = float(rng.random() < u[2])
-    taken = sum(u[1] for u in units if u[2] > 0.5)
-    for u in sorted(units, key=lambda u: (-u[1], u[0])):
-        if taken > want and u[2] > 0.5:
-            u[2], taken = 0.0, taken - u[1]
-    for u in sorted(units, key=lambda u: (-u[1], u[0])):
-        if want - taken > left and u[2] < 0.5 and taken + u[1] <= want:
-            u[2], taken = 1.0, taken + u[1]
-
-
 def _rate(r: float, most: int) -> tuple[int, float]:
     base = int(r + 1e-9)
     chance = max(0.0, r - base)

@@ -77,7 +77,12 @@ def _mix(spark: SparkSession, d: str) -> tuple:
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[0]
+    return _mix(spark, d)[0].drop("stage")
+
+
+def p7_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Where the documents of the mixture were decided: flights, landing, or all of a source alike."""
+    return _mix(spark, d)[0].groupBy("stage").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +107,7 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p6_blocks, p6_report, p7_mixture, p7_shares, p8_found, p8_units)}
+    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p6_blocks, p6_report, p7_mixture, p7_stages, p7_shares, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -211,3 +211,26 @@ def test_sentences_cover_any_text():
         assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
         assert "".join(text[a:b] for a, b in spans).replace(" ", "").split() == "".join(text.split(" ")).split() or {*text} - {*"".join(text[a:b] for a, b in spans)} <= {" ", "\n", "\t"}
     assert p8_sentences.sentences(None) == [] and p8_sentences.sentences(" \n\u3000") == []
+
+
+def test_settled_tokens_meet_the_expected_total():
+    for seed in range(6):
+        rng = random.Random(seed)
+        units = [[i, int(rng.lognormvariate(4, 1.5)) + 1, 0.1] for i in range(1000)]
+        want, chance = sum(u[1] * u[2] for u in units), [u[2] for u in units]
+        flown = [u for k in range(4) for u in p7_mixing.fly(sorted(units[k::4], key=lambda u: -u[1]), 64, rng, 512)]
+        landed = p7_mixing.settle([u for u in flown if p7_mixing._open(u)], rng)
+        assert {u[2] for u in units} <= {0.0, 1.0} and len(units) == len(chance)
+        assert abs(sum(u[1] * u[2] for u in units) - want) <= 1 and len(landed) < 60  # of 1,000, whatever their number
+
+
+def test_mixing_levels(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, "ab"[i % 2], int(rng.lognormvariate(4, 1.5)) + 1) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long").repartition(9)
+    monkeypatch.setattr(p7_mixing, "FAN_IN", 3)
+    mixture, need, _ = p7_mixing.mix(df, [("a", 1.0, 1), ("b", 3.0, 1)])
+    rows = mixture.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    for s, (_, tokens) in need.items():
+        assert abs(sum(r.n_tokens for r in rows if r.source == s) - tokens) <= 1
