@@ -1,13 +1,19 @@
 """Broken prompt and response pairs: ordered rules, every triggered defect, one main defect.
 
 Rules in order: ``empty``, ``copied_question``, ``refusal``, ``wrong_language``, ``truncated``. Reasoning in
-``<think>`` tags is taken out first (an unclosed tag runs to the end). An abrupt ending is told by unclosed
-code fences, a comma, colon, opening mark or hyphen at the end, or by how often the last words end a
-sentence or line elsewhere in the answers: counts of one to three words over all answers, never a sample.
+``<think>`` tags is taken out first (an unclosed tag runs to the end).
+
+``refusal``: a sentence of the opening, outside quotations, that declines (a negated or declining verb) and
+speaks of answering, the request or its rules and of little else. ``wrong_language``: script first, then
+letters that only some languages have, then everyday words. ``truncated``: unclosed code fences, a comma,
+colon, opening mark or hyphen at the end; else how often the last one to four words end a sentence or line
+anywhere in the answers (names and numbers count as kinds): counts over all answers, never a sample. A last
+word that no other answer has tells of a cut only as far as such words are rare in the table (``UNSEEN``), and
+where nothing is known of an ending, only a word that needs another one behind it tells.
 
 Defined results: a null or blank answer, or one without a letter or digit, is ``empty``; a null prompt can
 be neither copied nor the measure of a language; an answer without words of a known language has none;
-repeated rows give one result; texts of any length are read whole (long ones decline a task at their start).
+repeated rows give one result; texts of any length are read whole (a task is declined at the start).
 """
 
 from __future__ import annotations
@@ -15,12 +21,14 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut
+from ..common import cut, spread_join
 
 ORDER = ("empty", "copied_question", "refusal", "wrong_language", "truncated")
 
@@ -46,6 +54,10 @@ for _lang, _words in STOPWORDS.items():
         _STOP[_w].add(_lang)
 _MARKS = {"de": re.compile(r"[äöüß„]", re.I), "fr": re.compile(r"[àâçèêëîïôùûœ]|\b[cdjlmnqst]['’]", re.I), "es": re.compile(r"[ñ¿¡áíóú]", re.I)}
 
+#: Letters of other languages in Latin script, which the languages above don't have.
+_FOREIGN = {"vi": "ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ", "pl": "ąćęłńśźż", "cs": "ěřůčšžďťňý", "tr": "ğış", "ro": "șțşţ", "hu": "őű", "sv": "å", "da": "æø"}
+_OTHER = {k: re.compile("[" + v + "]") for k, v in _FOREIGN.items()}
+
 #: Names of languages in the languages that prompts are written in.
 NAMES = {
     "en": "english englisch englische anglais anglaise inglés inglesa",
@@ -78,8 +90,8 @@ REFUSALS = {
     "es": r"no (?:puedo|podré|soy capaz de|me es posible) (?:ayudar|responder|hacer (?:esto|eso)|escribir (?:esto|eso)|completar|atender|proporcionar|cumplir)|(?:debo|tengo que) (?:rechazar|negarme|declinar)|imposible (?:responder|ayudar|atender)|como (?:modelo de lenguaje|ia|asistente)[^.]{0,60}\bno\b|contra de mis (?:normas|reglas|directrices)",
     "it": r"non posso (?:aiutar|rispondere|farlo|completare)|devo rifiutare|come modello linguistico",
     "pt": r"não posso (?:ajudar|responder|fazer isso)|devo recusar|como modelo de linguagem",
-    "ru": r"не могу (?:помочь|ответить|выполнить|это сделать)|вынужден[а]? отказать|как языковая модель",
-    "zh": r"(?:无法|不能|没办法)(?:回答|帮助|协助|完成|提供)|作为(?:一个)?(?:人工智能|语言模型|AI)[^。]{0,30}(?:不|无法)|拒绝(?:回答|完成)",
+    "ru": r"не (?:могу|смогу|буду|стану|хочу|вправе|готов[а]?) [^.!?]{0,30}(?:помо|отве|выполн|сдела|написа|обсужд)|предпоч\w+ не отвеча|вынужден[а]? отказать|отказываюсь|как языковая модель",
+    "zh": r"(?:无法|不能|没办法|不便|不方便)(?:为[你您])?(?:回答|帮助|协助|完成|提供|帮)|帮不了(?:你|您)|我(?:做|办)不到|恕(?:我)?(?:不|无法|难以)|作为(?:一个)?(?:人工智能|语言模型|AI)[^。]{0,30}(?:不|无法)|拒绝(?:回答|完成)",
     "ja": r"(?:お答え|お手伝い|対応|回答)(?:することは)?(?:でき(?:ません|かねます)|いたしかねます)|言語モデルとして",
     "ar": r"لا (?:أستطيع|يمكنني|أقدر على) (?:مساعد|الإجابة|تنفيذ|المساعدة)|كنموذج لغوي|أعتذر عن",
     "hi": r"(?:मदद|उत्तर|जवाब)[^।]{0,20}नहीं (?:कर|दे) सकत|भाषा मॉडल के रूप में",
@@ -116,8 +128,12 @@ def language(text: str) -> str | None:
     for lang, pattern in _SCRIPT.items():
         if len(pattern.findall(text)) >= 0.4 * letters:
             return lang
+    lower = text.lower()
+    for lang, pattern in _OTHER.items():
+        if len(pattern.findall(lower)) >= max(1, 0.02 * letters):
+            return lang
     score: Counter = Counter()
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
+    for w in re.findall(r"[^\W\d_]+", lower):
         for lang in _STOP.get(w, ()):
             score[lang] += 1 if len(_STOP[w]) == 1 else 0.4
     for lang, pattern in _MARKS.items():
@@ -232,27 +248,88 @@ def _near(a: str, b: str) -> bool:
 #: A greeting that names nobody: the answerer speaks.
 _UNNAMED = re.compile(r"^(?:hi|hello|hey|hallo|guten (?:tag|morgen|abend)|bonjour|salut|hola)(?: there)?,\s*\n", re.I)
 _SENTENCE_END = re.compile(r"(?<=[.!?…؟۔])\s+|(?<=[。！？।])|\n+")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」")
+#: How talk about declining is built, by language: who speaks, what declines, what is declined, and the words around it.
+_TALK = {
+    "en": (
+        "i me my myself we us our i'm i’m i'd i’d i've i’ve",
+        "not no never cannot can't can’t won't won’t don't don’t doesn't doesn’t isn't isn’t couldn't couldn’t wouldn't wouldn’t shouldn't shouldn’t aren't aren’t unable impossible declin* refus* avoid* refrain* pass* prevent* prohibit* forbid* restrict* against outside beyond inappropriate unanswered skip* reject*",
+        "answer* respond* response* repl* help* assist* request* question* task* topic* subject* matter* instruction* guideline* polic* rule* do doing write writing provid* discuss* fulfil* compl* continu* produc* generat* perform* handl* allow* permit* able comfortable appropriate position possible scope",
+        "that's that’s it's it’s sorry apolog* unfortunately regret* thank* ask* appreciat* afraid but however to with the a an of for is are be am have has had been was were what which it this that these those here there one your you in on and or so do does can could would should will may might must need* want* given giv* mak* fall* under something anything someone else feel* from as language model ai assistant at by time right now such any kind way rather prefer* hope understand please any leave* sort thing things go goes consider* decid* cannot just simply",
+    ),
+    "de": (
+        "ich mir mich mein* wir uns unser*",
+        "nicht kein* nie ablehn* lehne verweiger* unmöglich außerhalb gegen verbiet* verbot* untersag* vermeid* lieber unangemessen",
+        "antwort* beantwort* helf* hilfe weiterhelf* anfrage* aufgabe* frage* thema themen richtlinien regeln vorgaben anweisung* erfüll* mach* tun tue schreib* bearbeit* erlaub* darf dürf* möglich angemessen",
+        "leider tut leid entschuld* danke dank für die der den dem das dies* ein* aber jedoch doch kann könn* möcht* will würd* muss müss* bin ist sind wird werden wurde worden habe hat zu zum zur auf in im von mit als ki sprachmodell assistent es was worüber sie ihnen dir du euch und hier dabei damit dazu hierzu hierbei weiter gebeten lage an so etwas leisten geben gegeben liegt fällt unter bitte ab werde verstößt stelle andere daher zumindest gern* um",
+    ),
+    "fr": (
+        "je j me m moi mon ma mes nous notre nos",
+        "ne n pas non refus* déclin* impossible évit* hors contre interdi* empêch* préfèr* préfér* inapproprié* abst*",
+        "répon* réponse* aide* aider demande* question* tâche* sujet* consigne* règle* directive* instruction* principe* faire fais ferai traiter écrire fournir satisfaire accomplir permis* permet* autoris* possible capable mesure approprié*",
+        "désolé* pardon malheureusement regret* regrette merci mais cependant toutefois de d à au aux la le les l un une des en que qu qui quoi suis est sont peux peut puis saurai* dois ai a été être vous t te votre vos ta ton ia modèle langue langage assistant pour sur par il s se y c ce cet cette ces cela ça ceci plutôt donné* donner posez autre là quelque chose et vais va tant",
+    ),
+    "es": (
+        "yo me mi mis mí nosotros nos puedo podré voy debo soy tengo estoy prefiero lamento quiero",
+        "no ni nunca rechaz* neg* declin* imposible evit* fuera contra prohib* imped* impid* prefier* inapropiad* absten*",
+        "respond* respuesta* ayud* petici* solicitud* pregunta* tarea* tema* norma* regla* directri* instruccion* hacer hago haré escribir cumplir atender permit* permiso posible capaz apropiad*",
+        "lo siento perdón disculp* lamentablemente gracias pero sin embargo por para con de del a al la el las los un una en que qué puede es está he ha sido ser usted te le su tu como ia modelo lenguaje asistente dar darse se eso esto esta este esa ese estas estos y o algo otra otro haz aquí así tipo mejor favor va",
+    ),
+}
+
+
+def _matcher(words: str) -> re.Pattern:
+    return re.compile("(?:" + "|".join(re.escape(w[:-1]) + r"\w*" if w.endswith("*") else re.escape(w) for w in words.split()) + r")\Z", re.I)
+
+
+_TALKERS = {lang: tuple(map(_matcher, kinds)) for lang, kinds in _TALK.items()}
+
+
+def _declines(sentence: str) -> bool:
+    """Whether a sentence declines and speaks of little but the request."""
+    phrase = _REFUSE.search(sentence) is not None
+    if not sentence.isascii() and not any("a" <= c <= "z" for c in sentence.lower()):
+        return phrase  # other scripts: by phrase
+    for lang, (who, no, what, around) in _TALKERS.items():
+        words = re.findall(r"[^\W_]+(?:['’][^\W_]+)?" if lang in ("en", "de") else r"[^\W_]+", sentence)
+        if not words:
+            continue
+        kinds = [(bool(who.match(w)), bool(no.match(w)), bool(what.match(w))) for w in words]
+        known = sum(any(k) or around.match(w) is not None for k, w in zip(kinds, words))
+        if phrase and known >= 0.7 * len(words):
+            return True
+        if any(k[1] for k in kinds) and any(k[2] for k in kinds) and known >= len(words) - (len(words) > 6) and (
+            any(k[0] for k in kinds) or any(_ASKING.match(w) for w in words) and not _ADDRESSED.match(words[0])
+        ):
+            return len(words) >= 4
+    return False
+
+
+#: The exchange itself as the subject of a sentence.
+_ADDRESSED = re.compile(r"(?:you|your|du|sie|ihr|vous|tu|votre|usted|ustedes)\Z", re.I)
+_ASKING = re.compile(r"(?:answer|request|response|question|anfrage|antwort|frage|réponse|demande|respuesta|petición|solicitud)", re.I)
 
 
 def refused(answer: str) -> bool:
-    """Whether the answer declines the task: a short one anywhere, one of 600 or more characters in its first
-    three sentences (later on, such words belong to the text). A letter to somebody named is what was asked for."""
+    """Whether one of the first three sentences outside quotations declines the task (later on, such words
+    belong to the text). A letter to somebody named is what was asked for."""
     if _GREETING.match(answer):
         if not _UNNAMED.match(answer) or any(CLOSINGS.match(x.strip()) for x in answer.split("\n")):
             return False
         answer = _UNNAMED.sub("", answer).strip()
-    if len(answer) >= 600:
-        answer = "\n".join([x for x in _SENTENCE_END.split(answer) if has_content(x)][:3])
-    return _REFUSE.search(answer) is not None
+    opening = [x for x in _SENTENCE_END.split(answer) if has_content(x)][:3]
+    return any(_declines(_QUOTED.sub(" ", x)) for x in opening)
 
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|\w+(?:[.'’-]\w+)*|\n\s*(?:[-*•–]|\d+[.)])?[ \t]*|[^\w\s]")
 
 
-def tokens(text: str) -> list[str]:
-    """Words without case, numbers as 0, names with underscores as _, marks, and line starts as one token."""
-    out = []
+def tokens(text: str) -> list[tuple[str, str]]:
+    """Words without case, numbers as 0, names with underscores as _, marks, and line starts as one token,
+    each beside its kind: ^ for a word in capitals that does not open a sentence."""
+    out, last = [], "\n"
     for t in _TOKEN.findall(text):
+        kind = ""
         if t[0] == "\n":
             t = "\n"
         elif "_" in t:
@@ -260,17 +337,39 @@ def tokens(text: str) -> list[str]:
         elif any(c.isdigit() for c in t):
             t = re.sub(r"\d+", "0", t.lower())
         else:
+            kind = "^" if t[:1].isupper() and last not in _ENDS else ""
             t = t.lower()
-        out.append(t)
+        out.append((t, kind or t))
+        last = t
     return out
 
 
 _ENDS = frozenset(". ! ? … 。 ！ ？ । ؟ ۔ \n".split(" "))
 
 
-def contexts(toks: list[str], i: int) -> list[str]:
-    """The last one, two and three tokens before position i."""
-    return ["\x1f".join(toks[max(0, i - k) : i]) if i >= k else "\x1e\x1f" + "\x1f".join(toks[:i]) for k in (1, 2, 3)]
+def contexts(toks: list[tuple[str, str]], i: int) -> list[str]:
+    """The last four to two tokens before position i as they are and by kind, the longest first; the last one at the end."""
+    out = []
+    for k in (4, 3, 2):
+        lead = str(k) if i >= k else f"{k}<"
+        part = toks[max(0, i - k) : i]
+        out.append(lead + "\x1f" + "\x1f".join([w for w, _ in part]))
+        out.append(lead + "\x1e" + "\x1e".join([m for _, m in part]))
+    out.append("1\x1f" + toks[i - 1][0])
+    return out
+
+
+_LIST_MARK = re.compile(r"^\s*(\d+)[.)]\s", re.M)
+
+
+def _bare_number(text: str) -> bool | None:
+    """Of an ending without a letter since the last sentence: False, a number is an answer; True where it would be
+    the next mark of a numbered list; None of other endings."""
+    tail = re.split(r"[.!?…。！？।؟۔\n\"”»]", text)[-1].strip()
+    if not tail or any(c.isalpha() for c in tail):
+        return None
+    marks = _LIST_MARK.findall(text)
+    return bool(marks) and tail.isdigit() and int(tail) == int(marks[-1]) + 1
 
 
 def abrupt(text: str) -> bool | None:
@@ -281,10 +380,7 @@ def abrupt(text: str) -> bool | None:
         return True
     if _TERMINAL.search(text):
         return False
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    if len(lines) == 1 and not re.search(r"[^\W\d_]", text):
-        return False  # a number alone is an answer
-    return None
+    return _bare_number(text)
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,23 +422,31 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Contexts that no ending asks about are sifted out where they are counted, by a filter of this many bits.
+SIEVE = 1 << 22
+
+
+def _counts(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
     def out(n: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(list(n), pa.string()), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())],
             names=["ctx", "ended", "went_on"],
         )
 
+    asked = np.unpackbits(sieve.view(np.uint8), bitorder="little").tobytes()
     seen: dict[str, list[int]] = {}
     for b in batches:
         for raw in b.column(0).to_pylist():
             toks = tokens(answer_of(raw))
             for i in range(1, len(toks)):
-                if toks[i - 1] in _ENDS:
+                if toks[i - 1][0] in _ENDS:
                     continue
-                side = 0 if toks[i] in _ENDS else 1
-                for c in contexts(toks, i):
-                    seen.setdefault(c, [0, 0])[side] += 1
+                side = 0 if toks[i][0] in _ENDS else 1
+                *longer, word = contexts(toks, i)
+                seen.setdefault(word, [0, 0])[side] += 1
+                for c in longer:
+                    if asked[crc32(c.encode("utf-8", "surrogatepass")) & (SIEVE - 1)]:
+                        seen.setdefault(c, [0, 0])[side] += 1
             if len(seen) > 200_000:
                 yield out(seen)
                 seen = {}
@@ -351,24 +455,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: A context needs this many occurrences to be trusted; the last words end a sentence at least this often.
 SUPPORT, ENDS_AT_LEAST = 3, 0.08
+#: A last word without another occurrence tells of a cut where fewer words than this occur once only. (About one
+#: in 25 answers breaks off, half of them inside a word: at 0.02 both explanations are as likely.)
+UNSEEN = 0.02
+#: Words that need another one behind them, for endings that nothing is known of.
+NEEDS_MORE = set(
+    "the a an of to and or but with for from in on at by because that which who is are was were be been has have had will would can could should must if when while as than into about after before until without over under between"
+    " der die das den dem des ein eine einen einem einer und oder aber mit für von zu zum zur auf in im an am bei nach aus über unter weil dass wenn als ist sind war waren wird werden hat haben"
+    " le la les un une des du de et ou mais avec pour par sur dans en au aux que qui dont car parce si quand comme est sont était a ont sera"
+    " el los las una unos y o pero con para por sobre en del al que quien porque si cuando como es son era ha han será".split()
+)
 
 
 def defects(df: DataFrame, prompt: str, answer: str) -> DataFrame:
     """``row_id, defects`` (all triggered types, in order) and ``defect`` (the first) of every bad row."""
     src = df.where(F.col("row_id").isNotNull()).select("row_id", F.col(prompt).alias("p"), F.col(answer).alias("a")).dropDuplicates(["row_id"])
     src = cut(src)
-    judged = src.mapInArrow(_classify, "row_id long, defects array<string>, open_end boolean, last array<string>")
-    judged = cut(judged)
-    counts = src.select("a").mapInArrow(_counts, "ctx string, ended long, went_on long")
+    judged = cut(src.mapInArrow(_classify, "row_id long, defects array<string>, open_end boolean, last array<string>"))
     asked = judged.where("open_end").select("row_id", F.posexplode("last").alias("k", "ctx"))
-    wanted = asked.select("ctx").distinct()
-    totals = counts.join(wanted, "ctx", "left_semi").groupBy("ctx").agg(F.sum("ended").alias("e"), F.sum("went_on").alias("c"))
-    known = asked.join(totals, "ctx", "left").withColumn("n", F.coalesce(F.col("e") + F.col("c"), F.lit(0)))
-    word = F.max(F.when(F.col("k") == 0, F.col("n")))  # occurrences of the last word by itself
-    longest = F.max(F.when((F.col("n") >= SUPPORT) | (F.col("k") == 0) & (F.col("n") > 0), F.struct("k", (F.col("e") / F.col("n")).alias("p"))))
-    verdict = known.groupBy("row_id").agg(word.alias("w"), longest["p"].alias("p"))
-    cut_off = verdict.where((F.col("w") == 0) | (F.col("p") < ENDS_AT_LEAST)).select("row_id", F.lit(True).alias("__cut"))
-    all_types = judged.join(cut_off, "row_id", "left").select(
+    slot = F.crc32(F.encode("ctx", "utf-8")).bitwiseAND(F.lit(SIEVE - 1))
+    bits = asked.select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    sieve = np.zeros(SIEVE // 64, np.int64)
+    for w, b in bits.groupBy("w").agg(F.bit_or("b")).collect():  # at most SIEVE / 64 numbers, whatever the input
+        sieve[w] = b
+    shared = df.sparkSession.sparkContext.broadcast(sieve)
+    counts = src.select("a").mapInArrow(lambda it: _counts(it, shared.value), "ctx string, ended long, went_on long")
+    totals = cut(counts.groupBy("ctx").agg(F.sum("ended").alias("e"), F.sum("went_on").alias("c")))
+    words = totals.where(F.col("ctx").startswith("1\x1f")).agg(F.sum((F.col("e") + F.col("c") == 1).cast("long")), F.sum(F.col("e") + F.col("c"))).first()
+    rare = (words[0] or 0) < UNSEEN * (words[1] or 0)
+    known = spread_join(asked, totals, "ctx", "left").withColumn("n", F.coalesce(F.col("e") + F.col("c"), F.lit(0)))
+    is_word = F.col("ctx").startswith("1\x1f")
+    trusted = (F.col("n") >= SUPPORT) & (F.col("ctx") != "1\x1f0")  # (what follows numbers in general tells nothing)
+    verdict = known.groupBy("row_id").agg(
+        F.max(F.when(is_word, F.col("n"))).alias("w"),
+        F.max(F.when(is_word, F.substring_index("ctx", "\x1f", -1).isin(*sorted(NEEDS_MORE)))).alias("hangs"),
+        F.min(F.when(trusted, F.struct("k", (F.col("e") / F.col("n")).alias("p"))))["p"].alias("p"),
+    )
+    cut_off = F.when((F.col("w") == 0) & F.lit(rare), F.lit(True)).when(F.col("p").isNotNull(), F.col("p") < ENDS_AT_LEAST).otherwise(F.col("hangs"))
+    ends = verdict.where(cut_off).select("row_id", F.lit(True).alias("__cut"))
+    all_types = judged.join(ends, "row_id", "left").select(
         "row_id", F.when(F.col("__cut"), F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects")
     )
     return all_types.where(F.size("defects") > 0).withColumn("defect", F.col("defects")[0])

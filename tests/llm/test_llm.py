@@ -217,10 +217,10 @@ def test_settled_tokens_meet_the_expected_total():
     for seed in range(6):
         rng = random.Random(seed)
         units = [[i, int(rng.lognormvariate(4, 1.5)) + 1, 0.1] for i in range(1000)]
-        want, chance = sum(u[1] * u[2] for u in units), [u[2] for u in units]
+        want = sum(u[1] * u[2] for u in units)
         flown = [u for k in range(4) for u in p7_mixing.fly(sorted(units[k::4], key=lambda u: -u[1]), 64, rng, 512)]
         landed = p7_mixing.settle([u for u in flown if p7_mixing._open(u)], rng)
-        assert {u[2] for u in units} <= {0.0, 1.0} and len(units) == len(chance)
+        assert all(min(u[2], 1 - u[2]) < 1e-6 for u in units)
         assert abs(sum(u[1] * u[2] for u in units) - want) <= 1 and len(landed) < 60  # of 1,000, whatever their number
 
 
@@ -234,3 +234,37 @@ def test_mixing_levels(spark, monkeypatch):
     assert len({r.doc_id for r in rows}) == len(rows)
     for s, (_, tokens) in need.items():
         assert abs(sum(r.n_tokens for r in rows if r.source == s) - tokens) <= 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Das kann ich nicht machen.", "Lo siento, pero no voy a hacer eso.", "je préfère ne pas répondre à cette demande", "I would rather not do that.", "Sorry, that's not something I'm able to do.", "这个我帮不了你。", "Answering would not be appropriate for me."],
+)
+def test_refusals_by_structure(text):
+    assert p2_pairs.refused(text) and p2_pairs.refused(text + "\nThe weather was fine and the boats went out early." * 30)
+
+
+def test_no_refusals():
+    for text in (
+        "The clerk wrote: I cannot help with that, and hung up. Then the story went on.", 'She said "I can\'t help with that" and left.',
+        "I am sorry, but I cannot come to Tolvik on Saturday.", "You do not need to answer.", "El proceso no puede ir.", "",
+    ):
+        assert not p2_pairs.refused(text)
+
+
+def test_languages_of_short_texts():
+    assert p2_pairs.language("Tôi không biết") == "vi" and p2_pairs.language("Das ist gut für dich") == "de" and p2_pairs.language("42") is None
+
+
+def test_nothing_is_truncated_for_want_of_other_rows(spark):
+    rows = [(1, "Capital of France?", "Paris"), (2, "Who wrote it?", "It was William Shakespeare"), (3, "Why?", "We left because the")]
+    df = spark.createDataFrame(rows, "row_id long, prompt string, answer string")
+    assert [(r.row_id, r.defect) for r in p2_pairs.defects(df, "prompt", "answer").collect()] == [(3, "truncated")]
+
+
+def test_endings_by_counts(spark):
+    rows = [(i, "Who?", f"The letters were sent by {n} after the long meeting in town. They were read by {n}.") for i, n in enumerate(["Ada", "Bo", "Cyd", "Dan", "Eli", "Fay"] * 40)]
+    rows += [(900, "Who?", "The letters were sent by Ada after the long mee"), (901, "Who?", "They were read by Zed"), (902, "Who?", "The letters were sent"), (903, "How many? Only the number.", "How many? Only the number.\n\n7")]
+    df = spark.createDataFrame(rows, "row_id long, prompt string, answer string")
+    got = {r.row_id: r.defect for r in p2_pairs.defects(df, "prompt", "answer").collect() if r.row_id >= 900}
+    assert got.get(900) == "truncated" and got.get(902) == "truncated" and 903 not in got
