@@ -1,11 +1,15 @@
 """Sentence boundaries across languages and scripts by semi-Markov dynamic programming.
 
 A text is cut into segments that no sentence crosses: fenced code blocks, paragraphs (blank lines), list
-items, headings and greeting lines. Within a segment the places where a sentence may end are candidates;
-dynamic programming over candidates picks the sequence of whole spans with the best total score. A span's
-score joins how it closes (marks, abbreviations, ordinals), how the next one opens, its length, and its
-quotation marks and brackets, which must balance; a quotation at its head keeps the clause that names the
-speaker. The script decides, not the language column, so wrong or missing languages don't matter.
+items, headings and greeting lines. Within a segment every terminal mark (in Thai: every space) is a place
+where a sentence may end, and dynamic programming picks the sequence of whole spans with the best total
+score. A span's score joins four things: how it opens (an opening word), how it closes (marks,
+abbreviations, ordinals, what follows), its length, and its balance: quotation marks and brackets must be
+whole in it, and a quotation that the span begins with keeps the clause that names the speaker. The script
+decides, not the language column, so wrong or missing languages don't matter.
+
+All starts are looked back to. Of those at least ``FAR`` characters behind, only the ones that no later start
+equals or beats are kept, which is exact because from there on a longer span never scores more.
 
 Defined results: a null, empty or blank text has no sentences; offsets are code points of the raw text
 without outer white space; any kind of line end works; repeated texts are cut alike.
@@ -14,6 +18,7 @@ without outer white space; any kind of line end works; repeated texts are cut al
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: From this size on, a longer span never scores more (see ``_length``).
 FAR = 80
+#: The score of what can't be.
+NEVER = -1e6
 
 _LINE = re.compile(r"[^\r\n\x0b\x0c\x85  ]*(?:\r\n|[\r\n\x0b\x0c\x85  ]|\Z)")
 _FENCE = re.compile(r"\s{0,3}(```+|~~~+)")
@@ -34,6 +41,7 @@ _GREETING = re.compile(
 _TERMINAL = re.compile(r"(?:\.{2,}|…+|[.!?！？｡。؟۔।॥]|‼|⁇|⁈|⁉)+")
 _OPEN = "([{（［【「『《〈“‘«„‹"
 _CLOSE = {")": "(", "]": "[", "}": "{", "）": "（", "］": "［", "】": "【", "」": "「", "』": "『", "》": "《", "〉": "〈", "»": "«", "›": "‹"}
+_MARKS = re.compile("[" + re.escape(_OPEN + "".join(_CLOSE) + "”’\"'") + "]")
 _CLOSERS = ")]}）］】」』》〉»›”’“\"'"
 _NUMBER = re.compile(r"\d")
 
@@ -105,7 +113,7 @@ def segments(text: str) -> Iterator[tuple[int, int, bool]]:
             continue
         if not line.strip():
             yield from flush(begin)
-        elif _HEADING.match(line) or (len(line) < 90 and _GREETING.match(line)):
+        elif _HEADING.match(line) or _GREETING.match(line):
             yield from flush(begin)
             yield begin, pos, True
         elif _ITEM.match(line):
@@ -123,20 +131,28 @@ def _pairs(s: str) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int]] = []
 
+    held: Counter = Counter()  # open marks by kind, so that nothing is looked for in vain
+
+    def push(c: str, i: int) -> None:
+        stack.append((c, i))
+        held[c] += 1
+
     def close(kinds: str, i: int) -> None:
-        for d in range(len(stack) - 1, -1, -1):
-            if stack[d][0] in kinds:
-                found.append((stack[d][1], i))
-                del stack[d:]
+        while any(held[k] for k in kinds):
+            c, at = stack.pop()
+            held[c] -= 1
+            if c in kinds:
+                found.append((at, i))
                 return
 
     n = len(s)
-    for i, c in enumerate(s):
+    for m in _MARKS.finditer(s):
+        i, c = m.start(), m.group()
         if c in _CLOSE:
-            if c == ")" and not any(k == "(" for k, _ in stack):
+            if c == ")" and not held["("]:
                 continue
             close(_CLOSE[c], i)
-        elif c == "“" and any(k == "„" for k, _ in stack):
+        elif c == "“" and held["„"]:
             close("„", i)
         elif c == "”":
             close("“„", i)
@@ -147,14 +163,14 @@ def _pairs(s: str) -> list[tuple[int, int]]:
             before, after = s[i - 1] if i else " ", s[i + 1] if i + 1 < n else " "
             if c == "'" and before.isalnum() and after.isalnum():
                 continue
-            is_open = any(k == c for k, _ in stack)
+            is_open = held[c] > 0
             if not is_open and not after.isspace() and (before.isspace() or not before.isalnum() and before not in ".!?"):
-                stack.append((c, i))
+                push(c, i)
             elif is_open and not before.isspace():
                 if c == "\"" or not after.isalnum():
                     close(c, i)
         elif c in _OPEN:
-            stack.append((c, i))
+            push(c, i)
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
@@ -163,64 +179,74 @@ def _pairs(s: str) -> list[tuple[int, int]]:
     return outer
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+#: What an opening word adds to a span.
+OPENS = 2.5
+
+
+def _opening(s: str, start: int) -> float:
+    """How well a span opens at ``start``."""
+    m = _LETTERS.match(s, start)
+    return OPENS if m and m.group().lower() in OPENERS else 0.0
+
+
 def _closing(s: str, at: int, mark: str, nxt: int, spaced: bool) -> float:
-    """How well a sentence closes with ``mark`` at ``at`` when the next text begins at ``nxt``."""
+    """How well a span closes with ``mark`` at ``at`` when the next text begins at ``nxt`` (its opening word is scored with the next span)."""
     c = s[nxt]
-    rest = s[nxt:]
     lead = c
-    if c in "—–-" and len(rest) > 1:
-        lead = rest[1:].lstrip()[:1] or c
+    if c in "—–-" and nxt + 1 < len(s):
+        k = nxt + 1
+        while k < len(s) and s[k].isspace():
+            k += 1
+        lead = s[k] if k < len(s) else c
     opening = c in "¿¡([{（「『“‘«„‹\"'《【`*" or lead in "¿¡"
     if c in ",;:،、，；)":
-        return -9
+        return NEVER
     dots = len(mark) > 1 and set(mark) <= {".", "…"} or mark[0] == "…"
     cjk = _CJK.match(c) is not None
     if dots:
-        return 2.0 if lead.isupper() or opening else -9
+        return 2.0 if lead.isupper() or opening else NEVER
     full = mark[-1] in "。！？｡।॥؟۔" or any(x in mark for x in "!?")
     if full:
         if mark[-1] in "。！？｡।॥":
             return 3.0
         if lead.islower():
-            return -3 if spaced else -9
+            return -3 - OPENS if spaced else NEVER
         if mark[-1] in "!?" and not spaced and not cjk and not lead.isupper() and not opening and lead.isascii():
-            return -9
+            return NEVER
         return 3.0
     # a single dot
     if not spaced:
-        if lead.isupper() and len(rest) > 1 and rest[1].islower() and at and (s[at - 1].islower() or s[at - 1] in ")]\"’”"):
+        if lead.isupper() and s[nxt + 1 : nxt + 2].islower() and at and (s[at - 1].islower() or s[at - 1] in ")]\"’”"):
             return 1.5
-        return 2.0 if cjk and at and _CJK.match(s[at - 1]) else -9
+        return 2.0 if cjk and at and _CJK.match(s[at - 1]) else NEVER
     if lead.islower():
-        return -9
-    m = _WORD_BEFORE.search(s[max(0, at - 24) : at])
+        return NEVER
+    m = _WORD_BEFORE.search(s[max(0, at - 24) : at])  # (no abbreviation is that long)
     word = m.group(1) if m else ""
     low = word.lower()
-    nw = re.match(r"[^\W\d_]+", rest)
+    nw = _LETTERS.match(s, nxt)
     after = nw.group().lower() if nw else ""
-    opens = after in OPENERS
     last = low.rsplit(" ", 1)[-1]
     tight = low.replace(" ", "")
     short = next((tight[k:] for k in range(len(tight)) if tight[k:] in EITHER and (k == 0 or not tight[k - 1].isalnum())), "")
     if _THAI.match(c):
-        return 1.0 if short and not _THAI_NOT_OPEN.match(rest) else -9
+        return 1.0 if short and not _THAI_NOT_OPEN.match(s, nxt) else NEVER
     if not (short and "." in short) and (tight in BEFORE or last in BEFORE):
-        return -4
+        return -4 - OPENS
     if short:
         if c.isdigit():
             return -3
-        if short in ("u.s", "u.k", "u.s.a", "e.u", "uu", "ee.uu", "jr") and not opens:
-            return -1
-        return 1.5
+        return -1 if short in ("u.s", "u.k", "u.s.a", "e.u", "uu", "ee.uu", "jr") else 1.5
     word = word.rsplit(" ", 1)[-1]
     if len(word) == 1 and word.isalpha():
-        if word.isupper() or not (lead.isupper() or lead.isascii()):
-            return 0.5 if opens and word not in "JRABCDEFGHKLMNPST" else -4
-        return -4
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", low):
-        return 1.0 if opens else -2
+        initial = word in "JRABCDEFGHKLMNPST" or not word.isupper() and (lead.isupper() or lead.isascii())
+        return -4 - OPENS if initial else 0.5 - OPENS  # (letters that seldom end a sentence)
+    if _DOTTED.fullmatch(low):
+        return 1.0 - OPENS
     if word.isdigit() and len(word) <= 2 and after in MONTHS:
-        return -5
+        return -5 - OPENS
     if c.isdigit() and word.isalpha():
         return -4 if len(word) <= 4 or word.lower().endswith("str") else 1.0
     if "ऀ" <= c <= "ॿ" and not opening:
@@ -230,14 +256,14 @@ def _closing(s: str, at: int, mark: str, nxt: int, spaced: bool) -> float:
 
 def _thai(s: str, a: int, b: int) -> float:
     """How well a sentence closes at the space between a and b in Thai text."""
-    left, right = s[:a], s[b:]
-    if not (_THAI.match(right) and (_THAI.match(left[-1]) or left[-1] in "”\"')»")):
-        return 2.5 if right[0] in "“\"(«" and left[-1] not in ",:" and b - a > 1 else -9
-    if _THAI_NOT_OPEN.match(right) or _THAI_NOT_CLOSE.search(left) or left.endswith(("ๆ", "ฯ")):
+    before = s[a - 1]
+    if not (_THAI.match(s, b) and (_THAI.match(before) or before in "”\"')»")):
+        return 2.5 if s[b] in "“\"(«" and before not in ",:" and b - a > 1 else NEVER
+    if _THAI_NOT_OPEN.match(s, b) or _THAI_NOT_CLOSE.search(s, max(0, a - 12), a) or before in "ๆฯ":
         return -6
-    if left[-1] in "”\"'»" and not s[a : a + 1] == "\n":
+    if before in "”\"'»" and not s[a : a + 1] == "\n":
         return -1
-    return 2.0 + (1.5 if b - a > 1 and s[a:b].strip("  ") == "" else 0)
+    return 2.0 + (1.5 if b - a > 1 and s[a:b].strip("  ") == "" else 0)
 
 
 def cut(s: str) -> list[tuple[int, int]]:
@@ -249,112 +275,141 @@ def cut(s: str) -> list[tuple[int, int]]:
     item = _ITEM.match(s)
     body = item.end() if item else first
     outer = _pairs(s[:n])
-    ends: list[tuple[int, int, float]] = []  # (end of the sentence, start of the next, score)
+    stops: list[tuple[int, int, float, int]] = []  # (end, start of the next, how it closes, head of a quotation that ends here)
     pi = 0
     closed_by = {b: a for a, b in outer}
+    kana = bool(outer) and _KANA.search(s) is not None
     for m in _TERMINAL.finditer(s, body, n):
         at, end = m.start(), m.end()
         while end < n and s[end] in _CLOSERS and (end in closed_by or s[end] in "”’»）)」』" and not any(a < end < b for a, b in outer[pi : pi + 2])):
             end += 1
-        if end < n and s[end : end + 2] in (" »", " »", " »") and end + 1 in closed_by:
+        if end < n and s[end : end + 2] in (" »", " »", " »") and end + 1 in closed_by:
             end += 2
         while pi < len(outer) and outer[pi][1] < end:
             pi += 1
-        if pi < len(outer) and outer[pi][0] < end <= outer[pi][1]:
-            continue  # inside a quotation or bracket
         nxt = end
         while nxt < n and s[nxt].isspace():
             nxt += 1
         if nxt >= n:
             break
-        score = _closing(s, at, m.group(), nxt, nxt > end or end > m.end())
         head = closed_by.get(end - 1, -1)
-        if head >= 0 and score > -9:
-            score = _after_quote(s, at, head, end, nxt, score)
-        ends.append((end, nxt, score, head))
+        if pi < len(outer) and outer[pi][0] < end <= outer[pi][1]:
+            score = NEVER  # both spans at this place would have half a quotation or bracket
+        else:
+            score = _closing(s, at, m.group(), nxt, nxt > end or end > m.end())
+            if head >= 0 and score > NEVER:
+                score = _after_quote(s, kana, head, end, nxt, score)
+        stops.append((end, nxt, score, head))
     if _THAI.search(s):
         tokens = [(t.start(), t.end()) for t in re.finditer(r"\S+", s[:n])]
         listed = set()
         for k, (a, b) in enumerate(tokens):
-            if s[a:b].startswith("ฯลฯ"):
+            if s.startswith("ฯลฯ", a):
                 j = k
                 while j > 0 and (j == k or b2 - a2 <= 8):
                     listed.add(tokens[j][0])
                     j -= 1
                     a2, b2 = tokens[j]
+        qi = 0
         for (_, b), (c, _) in zip(tokens, tokens[1:]):
-            if b > body and c not in listed and not any(x < b <= y for x, y in outer):
-                score = _thai(s, b, c)
-                if score > -9:
-                    ends.append((b, c, score, -1))
-        ends.sort()
-    return _best(s, first, body, n, ends)
+            while qi < len(outer) and outer[qi][1] < b:
+                qi += 1
+            half = qi < len(outer) and outer[qi][0] < b <= outer[qi][1]
+            if b > body and c not in listed:
+                stops.append((b, c, NEVER if half else _thai(s, b, c), -1))
+        stops.sort()
+    return _best(s, first, body, n, stops, closed_by)
 
 
-def _after_quote(s: str, at: int, head: int, end: int, nxt: int, score: float) -> float:
-    """The score of ending right behind a closed quotation or bracket."""
-    rest, c = s[nxt : nxt + 80], s[nxt]
+def _after_quote(s: str, kana: bool, head: int, end: int, nxt: int, score: float) -> float:
+    """The score of closing right behind a quotation or bracket."""
+    c = s[nxt]
     if s[head] in "([（":
-        return score if not c.islower() else -9
-    if s[end - 1] in "」』" and _KANA.search(s) and _SPEECH_JA.match(rest):
-        return -9
+        return score if not c.islower() else NEVER
+    if s[end - 1] in "」』" and kana and _SPEECH_JA.match(s, nxt):
+        return NEVER
     if c.islower() or c in ",;:–—-":
-        return -9
+        return NEVER
     return score
 
 
 def _speaks(s: str, nxt: int) -> bool:
     """Whether the text after a quotation names its speaker."""
-    rest = s[nxt : nxt + 80]
-    if _CJK.match(rest):
-        return bool(_SPEECH_JA.match(rest) if _KANA.search(rest) else _SPEECH_ZH.match(rest))
-    if "؀" <= rest[0] <= "ۿ":
-        return _SPEECH_AR.match(rest) is not None
-    if "ऀ" <= rest[0] <= "ॿ":
-        return _SPEECH_HI.match(rest) is not None
-    return _SPEECH.match(rest) is not None
-
-
-def _best(s: str, first: int, body: int, n: int, ends: list[tuple[int, int, float, int]]) -> list[tuple[int, int]]:
-    """Semi-Markov dynamic program over the candidate ends, back to the first.
-
-    Of the starts at least ``FAR`` behind, only those count that no later one equals or beats; they stand
-    in falling order, so the rest is passed over as soon as its scores can't win.
-    """
-    stops = [(first, first, 0.0, -1), *[e for e in ends if e[2] > -9], (n, n, 0.0, -1)]
-    begins = {body} | {e[1] for e in ends if e[2] > 0}
-    for k, (end, nxt, score, head) in enumerate(stops):
-        if head in begins and s[head] not in "([（" and nxt < n and _speaks(s, nxt):
-            stops[k] = (end, nxt, -20.0, head)  # the head of a sentence that goes on with its speaker
+    c = s[nxt]
+    if _CJK.match(c):
+        return bool(_SPEECH_JA.match(s, nxt) if _KANA.search(s, nxt, nxt + 80) else _SPEECH_ZH.match(s, nxt))
+    if "؀" <= c <= "ۿ":
+        return _SPEECH_AR.match(s, nxt) is not None
+    if "ऀ" <= c <= "ॿ":
+        return _SPEECH_HI.match(s, nxt) is not None
+    return _SPEECH.match(s, nxt) is not None
+
+
+def _introduced(s: str, head: int, body: int) -> bool:
+    """Whether words of the same sentence lead to the quotation that begins at ``head``."""
+    k = head - 1
+    while k >= body and s[k].isspace():
+        k -= 1
+    while k >= body and s[k] in _CLOSERS:
+        k -= 1
+    return k >= body and _TERMINAL.match(s, k) is None
+
+
+#: What a quotation loses that is cut off from the clause naming its speaker.
+SPEAKERLESS = -20.0
+
+
+def _best(s: str, first: int, body: int, n: int, stops: list[tuple[int, int, float, int]], closed_by: dict[int, int]) -> list[tuple[int, int]]:
+    """The sequence of spans with the best total score."""
+    stops = [(first, first, 0.0, -1), *stops, (n, n, 0.0, -1)]
+    starts = [body, *(e[1] for e in stops[1:])]
+    opens = [_opening(s, x) if x < n else 0.0 for x in starts]
+    opens[0] = 0.0  # the segment's own start is given
+    tail_of = {a: b for b, a in closed_by.items()}
     best = [0.0] + [-1e18] * (len(stops) - 1)
     back = [0] * len(stops)
-    starts = [body, *(e[1] for e in stops[1:])]
     ordered = all(x <= y for x, y in zip(starts, starts[1:]))
     far: list[int] = []
+    waiting: list[int] = []  # far starts whose own quotation isn't closed yet
     passed = 0  # starts before this one are far
+
+    def to_far(i: int) -> None:
+        while far and best[far[-1]] + opens[far[-1]] <= best[i] + opens[i]:
+            far.pop()
+        far.append(i)
+
+    last = len(stops) - 1
     for j in range(1, len(stops)):
-        end, _, score, _ = stops[j]
+        end, nxt, score, head = stops[j]
+        lost = SPEAKERLESS if head >= 0 and s[head] not in "([（" and nxt < n and _speaks(s, nxt) else 0.0
+        if lost and not _introduced(s, head, body):
+            score, lost = score + lost, 0.0  # whatever span it closes
         while ordered and passed < j and starts[passed] + FAR <= end:
-            while far and best[far[-1]] <= best[passed]:
-                far.pop()
-            far.append(passed)
+            if tail_of.get(starts[passed], -1) >= end - 1:
+                waiting.append(passed)
+            else:
+                to_far(passed)
             passed += 1
-        for i in range(j - 1, passed - 1, -1):
-            if starts[i] >= end:
-                continue
-            got = best[i] + score + _length(s, starts[i], end, j == len(stops) - 1)
-            if got > best[j]:
-                best[j], back[j] = got, i
+        for i in [i for i in waiting if tail_of[starts[i]] < end - 1]:
+            waiting.remove(i)
+            to_far(i)
         top, at = -1e18, 0
+        for i in (*range(j - 1, passed - 1, -1), *waiting):
+            if starts[i] < end:
+                got = best[i] + opens[i] + _length(s, starts[i], end, j == last) + (lost if starts[i] == head else 0.0)
+                if got > top:
+                    top, at = got, i
+        far_top, far_at = -1e18, 0
         for i in far:
-            if best[i] + score < top:
+            if best[i] + opens[i] < max(top, far_top):
                 break
-            got = best[i] + score + _length(s, starts[i], end, j == len(stops) - 1)
-            if got >= top:
-                top, at = got, i
-        if top > best[j]:
-            best[j], back[j] = top, at
-    out, j = [], len(stops) - 1
+            got = best[i] + opens[i] + _length(s, starts[i], end, j == last)
+            if got >= far_top:
+                far_top, far_at = got, i
+        if far_top > top:  # (of equals, the nearest start)
+            top, at = far_top, far_at
+        best[j], back[j] = top + score, at
+    out, j = [], last
     while j:
         i = back[j]
         out.append((first if i == 0 else stops[i][1], stops[j][0]))
@@ -364,12 +419,12 @@ def _best(s: str, first: int, body: int, n: int, ends: list[tuple[int, int, floa
 
 def _length(s: str, start: int, end: int, last: bool) -> float:
     size = end - start
-    if size < FAR and _THAI.search(s, start, end):
+    if size < 80 and _THAI.search(s, start, end):
         thai = len(_THAI.findall(s, start, end))
         return -3.0 if thai < 10 and not last else -1.5 if thai < 14 else 0.0
-    if size <= 3:
-        return 0.0 if any(c.isalnum() for c in s[start:end]) else -4.0
-    return -0.001 * max(0, size - 400) ** 0.5
+    if size < 8 and not last:
+        return -0.8 if any(c.isalnum() for c in s[start:end]) else -4.0
+    return -0.02 * max(0, min(size, 4400) - 400) ** 0.5
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:

@@ -3,6 +3,7 @@
 import ast
 import json
 import random
+import time
 import tomllib
 
 import pytest
@@ -268,3 +269,33 @@ def test_endings_by_counts(spark):
     df = spark.createDataFrame(rows, "row_id long, prompt string, answer string")
     got = {r.row_id: r.defect for r in p2_pairs.defects(df, "prompt", "answer").collect() if r.row_id >= 900}
     assert got.get(900) == "truncated" and got.get(902) == "truncated" and 903 not in got
+
+
+def test_spans_are_scored_jointly():
+    """Both places by themselves would end a sentence; the span between them is too short to be one."""
+    text = "We saw Plan W. The X. The rest was gone."
+    for at in (13, 20):
+        nxt = at + 2
+        assert p8_sentences._closing(text, at, ".", nxt, True) + p8_sentences._opening(text, nxt) > 0
+    assert [text[a:b] for a, b in p8_sentences.sentences(text)] == ["We saw Plan W.", "The X. The rest was gone."]
+    # the same quotation and speaker: whole where it begins its sentence, closed where words lead to it
+    assert len(p8_sentences.sentences("It rained. “Stop it now!” Corvin shouted at them.")) == 2
+    assert len(p8_sentences.sentences("The sign read “Stop it now!” Corvin shouted at them.")) == 2
+
+
+def test_far_starts_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    parts = ["Mr. Smith", "went on. ", "“Stop! Go!” ", "Corvin shouted. ", "The U. ", "e.g. this, ", "He said: ", "J. R. ", "停！", "“别删！”", "ไทย ", "(so. it) ", "Long words follow here without any end ", "7. ", "etc. "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 120))) for _ in range(150)]
+    got = [p8_sentences.sentences(t) for t in texts]
+    monkeypatch.setattr(p8_sentences, "FAR", 10**9)
+    assert [p8_sentences.sentences(t) for t in texts] == got
+
+
+def test_long_sentences_stay_whole():
+    text = "He met " + "Mr. Smith and " * 30_000 + "nobody else."
+    assert p8_sentences.sentences(text) == [(0, len(text))]
+    many = "The cat sat on the mat, and nobody asked. " * 25_000
+    began = time.time()
+    assert len(p8_sentences.sentences(many)) == 25_000 and time.time() - began < 20
+    assert len(p8_sentences.sentences("Dear " + "Ada, " * 30 + "\nIt is late.")) >= 1
