@@ -58,13 +58,134 @@ _IN_KEY = re.compile(_TSTR + r"|([A-Za-z0-9_-]+)" + _TCOMMON + r"(\[\[|\]\]|[\[\
 _IN_VALUE = re.compile(_TSTR + r"|" + _TVALUE + _TCOMMON + r"([\[\]{},]|.)", re.S)
 
 
+_SURROGATE = re.compile(r"\\(?:u|U0000)[dD][89a-fA-F][0-9a-fA-F]{2}")
+_ESCAPE = re.compile(r'\\(?:u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|([btnfr"\\]))')
+
+
+def _key_part(said: str) -> str:
+    """A part of a key as it is meant: without quotes and escapes."""
+    if said[0] == "'":
+        return said[1:-1]
+    if said[0] == '"':
+        plain = dict(zip('btnfr"\\', '\b\t\n\f\r"\\'))
+        return _ESCAPE.sub(lambda m: plain[m[3]] if m[3] else chr(int(m[1] or m[2], 16)), said[1:-1])
+    return said
+
+
+class _Table(dict):
+    """Keys of a table. ``how``: "path" (only passed through), "header", "dotted" or "closed" (an inline value)."""
+
+    def __init__(self, how: str):
+        self.how = how
+
+
+class _Tables:
+    """What a TOML document has defined so far: no key twice, no table opened twice or from two sides."""
+
+    def __init__(self) -> None:
+        self.root = self.now = _Table("header")
+        self.mine: set[int] = set()  # tables made by dotted keys below the present header
+
+    def take(self, toks: list[str], said: list[str]) -> bool:
+        if toks[0] in ("[", "[["):
+            return self._header([_key_part(x) for t, x in zip(toks, said) if t in "BS"], toks[0] == "[[")
+        return self._pair(self.now, toks, said, 0)[0]
+
+    def _header(self, path: list[str], many: bool) -> bool:
+        at = self.root
+        for part in path[:-1]:
+            at = at.setdefault(part, _Table("path"))
+            if isinstance(at, list):
+                at = at[-1]
+            if not isinstance(at, _Table) or at.how == "closed":
+                return False
+        self.mine = set()
+        old = at.get(path[-1])
+        if many:
+            if old is None:
+                old = at[path[-1]] = []
+            if not isinstance(old, list):
+                return False
+            old.append(_Table("header"))
+            self.now = old[-1]
+            return True
+        if old is None:
+            old = at[path[-1]] = _Table("header")
+        elif not isinstance(old, _Table) or old.how != "path":
+            return False
+        old.how = "header"
+        self.now = old
+        return True
+
+    def _pair(self, table: _Table, toks: list[str], said: list[str], i: int) -> tuple[bool, int]:
+        """Whether the pair that begins at token i defines something new; the token after it."""
+        path = []
+        while toks[i] != "=":
+            if toks[i] != ".":
+                path.append(_key_part(said[i]))
+            i += 1
+        for part in path[:-1]:
+            if part not in table:
+                table[part] = _Table("dotted")
+                self.mine.add(id(table[part]))
+            table = table[part]
+            if not isinstance(table, _Table) or id(table) not in self.mine and table.how != "path":
+                return False, i
+            if table.how == "path":
+                table.how = "dotted"
+                self.mine.add(id(table))
+        if path[-1] in table:
+            return False, i
+        made = table[path[-1]] = _Table("closed")
+        return self._value(made, toks, said, i + 1)
+
+    def _value(self, made: _Table, toks: list[str], said: list[str], i: int) -> tuple[bool, int]:
+        """Checks inline tables within a value; nesting is kept on a list."""
+        todo = [("{" if toks[i] == "{" else "[" if toks[i] == "[" else "", made)]
+        if not todo[0][0]:
+            return True, i + 1
+        i += 1
+        while todo:
+            kind, table = todo[-1]
+            t = toks[i]
+            if t in ("}", "]"):
+                todo.pop()
+                i += 1
+            elif t == ",":
+                i += 1
+            elif kind == "{":
+                path = []
+                while toks[i] != "=":
+                    if toks[i] != ".":
+                        path.append(_key_part(said[i]))
+                    i += 1
+                for part in path[:-1]:
+                    table = table.setdefault(part, _Table("dotted"))
+                    if table.how != "dotted":
+                        return False, i
+                if path[-1] in table:
+                    return False, i
+                inner = table[path[-1]] = _Table("closed")
+                i += 1
+                if toks[i] in "{[":
+                    todo.append((toks[i], inner))
+                i += 1
+            else:
+                if t in "{[":
+                    todo.append((t, _Table("closed")))
+                i += 1
+        return True, i
+
+
 def parse_toml(text: str) -> tuple[bool, int, str]:
-    """As :func:`parse_json`. A newline ends an expression except inside an array."""
+    """As :func:`parse_json`. A newline ends an expression except inside an array; keys and tables are defined once."""
     if "\r" in text:
         text = text.replace("\r\n", "\n")
     pos, n = 1 if text.startswith("﻿") else 0, len(text)
     toks: list[str] = []
     at: list[int] = []
+    said: list[str] = []
+    tables = _Tables()
     stack: list[str] = []
     value = False
     while pos <= n:
@@ -86,11 +207,15 @@ def parse_toml(text: str) -> tuple[bool, int, str]:
                 ok, far = _TOML.match([*toks, "$"])
                 if not ok:
                     return False, at[far] if far < len(at) else start if start < len(text.rstrip()) else -1, "key or value"
-            toks, at, stack, value = [], [], [], False
+                if not tables.take(toks, said):
+                    return False, at[0], "second definition"
+            toks, at, said, stack, value = [], [], [], [], False
             continue
         if g == 1:
             t = "M"
         elif g == 2:
+            if _SURROGATE.search(t):
+                return False, start, "character"
             t = "S"
         elif g == 3:
             t = "V" if value else "B"
@@ -108,4 +233,5 @@ def parse_toml(text: str) -> tuple[bool, int, str]:
             value = True
         toks.append(t)
         at.append(start)
+        said.append(text[start:pos])
     return True, 0, ""

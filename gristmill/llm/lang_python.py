@@ -7,6 +7,7 @@ shared by all lines of all files that a worker sees; ``LINE_MEMO`` bounds its si
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from .peg import Peg
 
@@ -31,7 +32,7 @@ def <- 'def' name typeparams? '(' params? ')' ( '->' expr )? ':' tail
 class <- 'class' name typeparams? ( '(' args? ')' )? ':' tail
 typeparams <- '[' tparam ( ',' tparam )* ','? ']'
 tparam <- ( '*' / '**' )? name ( ':' expr )? ( '=' ( starred / expr ) )?
-params <- plain ( ',' plain )* ( ',' '/' ( ',' plain )* )? ( ',' dflt )* slashd? ( ',' starpart )? ','? / dflt ( ',' dflt )* slashd? ( ',' starpart )? ','? / starpart ','?
+params <- plain ( ',' plain )* ( ',' '/' ( ',' plain )* ( ',' dflt )* / ( ',' dflt )* slashd? ) ( ',' starpart )? ','? / dflt ( ',' dflt )* slashd? ( ',' starpart )? ','? / starpart ','?
 slashd <- ',' '/' ( ',' dflt )*
 plain <- name ( ':' expr )? !'='
 dflt <- name ( ':' expr )? '=' expr
@@ -45,8 +46,8 @@ patterns <- maybestar ',' ( maybestar ( ',' maybestar )* ','? )? / pattern
 maybestar <- '*' name / pattern
 pattern <- orpat ( 'as' name )?
 orpat <- closed ( '|' closed )*
-closed <- '-'? '0' ( { '+' '-' } '0' )? / str+ / { 'None' 'True' 'False' } / dotted '(' ( pargs )? ')' / dotted / '(' ( patterns )? ')' / '[' ( maybestar ( ',' maybestar )* ','? )? ']' / '{' ( mapitem ( ',' mapitem )* ','? )? '}'
-mapitem <- '**' name / ( '-'? '0' ( { '+' '-' } '0' )? / str+ / { 'None' 'True' 'False' } / name ( '.' name )+ ) ':' pattern
+closed <- '-'? '0' ( { '+' '-' } '0' )? / str / { 'None' 'True' 'False' } / dotted '(' ( pargs )? ')' / dotted / '(' ( patterns )? ')' / '[' ( maybestar ( ',' maybestar )* ','? )? ']' / '{' ( mapitem ( ',' mapitem )* ( ',' '**' name )? ','? / '**' name ','? )? '}'
+mapitem <- ( '-'? '0' ( { '+' '-' } '0' )? / str / { 'None' 'True' 'False' } / name ( '.' name )+ ) ':' pattern
 pargs <- parg ( ',' parg )* ','?
 parg <- name '=' pattern / pattern
 dotted <- name ( '.' name )*
@@ -74,7 +75,7 @@ starred <- '*' operand ( binop )*
 binop <- { '+' '-' '*' '/' '//' '%' '@' '&' '|' '^' '<<' '>>' '**' } operand
 named <- name ':=' expr / expr !':='
 expr <= 'lambda' lparams? ':' expr / disj ( 'if' disj 'else' expr )?
-lparams <- lplain ( ',' lplain )* ( ',' '/' ( ',' lplain )* )? ( ',' ldflt )* lslash? ( ',' lstar )? ','? / ldflt ( ',' ldflt )* lslash? ( ',' lstar )? ','? / lstar ','?
+lparams <- lplain ( ',' lplain )* ( ',' '/' ( ',' lplain )* ( ',' ldflt )* / ( ',' ldflt )* lslash? ) ( ',' lstar )? ','? / ldflt ( ',' ldflt )* lslash? ( ',' lstar )? ','? / lstar ','?
 lslash <- ',' '/' ( ',' ldflt )*
 lplain <- name !'='
 ldflt <- name '=' expr
@@ -85,11 +86,11 @@ inversion <- 'not'* comparison
 comparison <- operand ( binop / compare operand )*
 compare <- { '==' '!=' '<' '>' '<=' '>=' 'in' } / 'not' 'in' / 'is' 'not'?
 operand <- { '+' '-' '~' }* 'await'? atom trailer*
-atom <= name / '0' / str+ / { 'None' 'True' 'False' '...' } / paren / listd / braced
-str <- 'S'
+atom <= name / '0' / str / { 'None' 'True' 'False' '...' } / paren / listd / braced
+str <- 'S'+ !'B' / 'B'+ !'S'
 paren <- '(' ( yield / named comp / starnamed ',' starnameds? / named )? ')'
 listd <- '[' ( named comp / starnameds )? ']'
-braced <- '{' ( dictitem comp / dictitem ( ',' dictitem )* ','? / named comp / starnameds )? '}'
+braced <- '{' ( expr ':' expr comp / dictitem ( ',' dictitem )* ','? / named comp / starnameds )? '}'
 dictitem <- '**' operand binop* / expr ':' expr
 comp <- ( 'async'? 'for' targets 'in' disj ( 'if' disjn )* )+
 disjn <- name ':=' disj / disj
@@ -126,15 +127,16 @@ _LEX = re.compile(
     re.S,
 )
 _BEFORE = re.compile(_PREFIX + r"\Z")
-_PREFIXED = re.compile(_PREFIX + "(?=\x02)")
+_PREFIXED = re.compile(_PREFIX + "(?=[\x02\x03])")
 _CLOSE = {'"""': re.compile(r"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"", re.S), "'''": re.compile(r"(?:[^\\']|\\.|'(?!''))*'''", re.S)}
 _NUM = re.compile(
     r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+"
     r"|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
-    r"|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|(?:0(?:_?0)*|[1-9](?:_?\d)*))(?![\w])"
+    r"|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|(?:0(?:_?0)*|[1-9](?:_?\d)*)(?!\.[^\W\d]))(?![\w])"
 )
+_DOT_EXP = re.compile(r"(?<![\w.])\d(?:_?\d)*\.(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])(?!\w)")
 _NAME = re.compile(r"\b(?!(?:" + "|".join(KEYWORDS + SOFT) + r")\b)[^\W\d]\w*")
-_TOK = re.compile(r"\x02|[^\W\d]\w*|0(?![\w])|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|[-+*/%@&|^<>=!]=|\*\*|//|<<|>>|[-+*/%@&|^~<>=.,:;()\[\]{}]|\S")
+_TOK = re.compile(r"[\x02\x03]|[^\W\d]\w*|0(?![\w])|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|[-+*/%@&|^<>=!]=|\*\*|//|<<|>>|[-+*/%@&|^~<>=.,:;()\[\]{}]|\S")
 #: The operators and marks of the language.
 _MARKS = frozenset("+ - * / // % @ & | ^ ~ << >> ** = += -= *= /= //= %= @= &= |= ^= >>= <<= **= -> := == != < > <= >= . , : ; ( ) [ ] { } ... 0 N".split()) | set(KEYWORDS) | set(SOFT)
 #: At most so many different logical lines are remembered by a worker.
@@ -145,13 +147,44 @@ _raws: dict[str, _Lexed] = {}
 _blocks: dict[str, tuple] = {}
 
 
+_ESCAPES = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!000[0-9a-fA-F]{5}|0010[0-9a-fA-F]{4})|N(?:\{([^{}]*)\})?|[\s\S])")
+
+
+def _bad_text(body: str, _raw: bool) -> bool:
+    """Whether a text has an escape that stands for nothing."""
+    if "\\" not in body:
+        return False
+    for m in _ESCAPES.finditer(body):
+        c = m.group()[1]
+        if c in "xuU" and len(m.group()) == 2:
+            if m.group() in ("\\x", "\\u", "\\U") and not _ESCAPED[c].match(body, m.end()):
+                return True
+        elif c == "N":
+            try:
+                unicodedata.lookup(m[1] or "")
+            except KeyError:
+                return True
+    return False
+
+
+_ESCAPED = {"x": re.compile("[0-9a-fA-F]{2}"), "u": re.compile("[0-9a-fA-F]{4}"), "U": re.compile("000[0-9a-fA-F]{5}|0010[0-9a-fA-F]{4}")}
+_BYTES = re.compile(r"\\(?:x(?:[0-9a-fA-F]{2})?|[\s\S])")
+
+
+def _bad_bytes(body: str, raw: bool) -> bool:
+    return not body.isascii() or (not raw and any(m.group() == "\\x" for m in _BYTES.finditer(body)))
+
+
+_BAD = {"": _bad_text, "b": _bad_bytes, "r": None}
+
+
 class _Lexed:
     """What the lexical pass leaves of one physical line (more where a backslash joins them)."""
 
-    __slots__ = ("formatted", "norm", "open", "rest")
+    __slots__ = ("check", "formatted", "norm", "open", "rest")
 
     def __init__(self, line: str):
-        self.open, self.rest, self.formatted = "", "", False
+        self.open, self.rest, self.formatted, self.check = "", "", False, None
         found = False
 
         def put(m: re.Match) -> str:
@@ -164,17 +197,23 @@ class _Lexed:
                 return " "
             before = _BEFORE.search(m.string[max(0, m.start() - 3) : m.start()])
             found = found or before is not None
-            formatted = before is not None and not {*before.group().lower()}.isdisjoint("ft")
+            kind = before.group().lower() if before else ""
+            formatted = "f" in kind or "t" in kind
+            check = _BAD["b" if "b" in kind else "r" if "r" in kind else ""]
             q = 3 if body[:3] in _CLOSE else 1
             if q == 3 and not _CLOSE[body[:3]].fullmatch(body[3:]):
-                self.open, self.rest, self.formatted = body[:3], body[3:], formatted
-            elif formatted and ("{" in body or "}" in body) and not _fstring(body[q:-q], "r" in before.group().lower()):
+                self.open, self.rest, self.formatted, self.check = body[:3], body[3:], formatted, check
+            elif formatted and ("{" in body or "}" in body) and not _fstring(body[q:-q], "r" in kind):
+                return "?"
+            if check is not None and check(body, "r" in kind):
                 return "?"
-            return "\x02"
+            return "\x03" if "b" in kind else "\x02"
 
         norm = _LEX.sub(put, line)
         if found:
             norm = _PREFIXED.sub("", norm)
+        if ".e" in norm or ".E" in norm or ".j" in norm or ".J" in norm:
+            norm = _DOT_EXP.sub("0", norm)
         self.norm = _NUM.sub("0", _NAME.sub("N", norm)).strip(" \t\f")
 
 
@@ -252,7 +291,7 @@ def _normal(text: str) -> str:
 
 
 def _tokens(line: str) -> list[str]:
-    return [t if t in _MARKS else "S" if t == "\x02" else "?" for t in _TOK.findall(line)]
+    return [t if t in _MARKS else "S" if t == "\x02" else "B" if t == "\x03" else "?" for t in _TOK.findall(line)]
 
 
 def _line(line: str, whole: bool = False) -> tuple[int, str, int, int]:
@@ -294,7 +333,94 @@ def _known(line: str, whole: bool = False) -> tuple:
     return info
 
 
+_STRING = re.compile(r"(?<!\w)([fFtT][rR]?|[rR][fFtT]|[rR]?[bB]?|[bB][rR]?|[uU])(\"\"\"|'''|\"|')|#[^\n]*|[({\[]|[)}\]]|:|!(?!=)|\n")
+
+
+def _unnested(text: str) -> str:
+    """The text with plain names in place of the strings that stand in fields of formatted strings, and without
+    line breaks there: such fields may use the quotes of the string around them."""
+    out: list[str] = []
+    done = 0
+    # levels: ("f", quote) in the text of a formatted string, ("{", brackets) in one of its fields
+    levels: list[list] = []
+    i, n = 0, len(text)
+    while i < n:
+        if levels and levels[-1][0] == "f":
+            quote, raw = levels[-1][1], levels[-1][2]
+            c = text[i]
+            if c == "\\" and not raw:
+                i += 2
+            elif quote and text.startswith(quote, i):
+                i += len(quote)
+                levels.pop()
+                if levels:  # a formatted string within a field
+                    done = i
+                    out.append("N")
+            elif not quote and c == "}":  # the end of a format
+                levels.pop()
+                levels.pop()
+                i += 1
+            elif c == "{" and not (quote and text.startswith("{{", i)):
+                levels.append(["{", 0])
+                i += 1
+            elif quote and c == "{":
+                i += 2
+            elif c == "\n" and len(quote) == 1:
+                return text  # never closed
+            else:
+                i += 1
+            continue
+        m = _STRING.search(text, i)
+        if not m:
+            break
+        inside = bool(levels)
+        t = m.group()
+        i = m.end()
+        if m[2]:
+            if not {*m[1].lower()}.isdisjoint("ft"):
+                if inside:
+                    out.append(text[done : m.start()] if not any(l[0] == "f" and l[3] for l in levels[:-1]) else "")
+                levels.append(["f", m[2], "r" in m[1].lower(), inside])
+                continue
+            end = i
+            while end < n and not text.startswith(m[2], end):
+                end += 2 if text[end] == "\\" else 1
+            i = end + len(m[2])
+            if inside:
+                if not any(l[0] == "f" and l[3] for l in levels[:-1]):
+                    out.append(text[done : m.start()] + "N")
+                done = i
+        elif inside and t[0] in "({[":
+            levels[-1][1] += 1
+        elif inside and t[0] in ")}]":
+            if levels[-1][1]:
+                levels[-1][1] -= 1
+            elif t == "}":
+                levels.pop()
+            else:
+                return text
+        elif inside and t == ":" and not levels[-1][1]:
+            levels.append(["f", "", levels[-2][2], levels[-2][3]])
+        elif inside and t == "\n":
+            out.append(text[done : m.start()] + " ")
+            done = i
+    return "".join(out) + text[done:]
+
+
+_NESTS = re.compile(r"(?<!\w)(?:[fFtT][rR]?|[rR][fFtT])[\"']")
+
+
 def parse(text: str) -> tuple[bool, int, str]:
+    """As :func:`_parse`, and where that fails, once more without strings nested in formatted strings."""
+    got = _parse(text)
+    if not got[0] and _NESTS.search(text):
+        flat = _unnested(text)
+        if flat != text and _parse(flat)[0]:
+            return True, 0, ""
+    return got
+
+
+def _parse(text: str) -> tuple[bool, int, str]:
     """(whether all input is consumed, number of tokens before the furthest failure, what was missing).
 
     The count of tokens is -1 where the failure stands at the end of the input.
@@ -313,6 +439,7 @@ def parse(text: str) -> tuple[bool, int, str]:
     before: list[int] = []  # tokens before each symbol of kinds
     parts: list[str] = []
     known, memo, raws, head = _known, _lines, _raws, ""
+    check, check_raw = None, False
     quote, formatted, held = "", False, ""  # inside a string of several lines: its quotes, its text so far
     rows = iter(text.split("\n"))
     for raw in rows:
@@ -320,7 +447,11 @@ def parse(text: str) -> tuple[bool, int, str]:
             if quote not in raw or (close := _CLOSE[quote].match(raw)) is None:
                 if formatted:
                     held += "\n" + raw
+                if check is not None and check(raw, check_raw):
+                    head += "?"
                 continue
+            if check is not None and check(raw[: close.end()], check_raw):
+                head += "?"
             if formatted and not _fstring(held + "\n" + raw[: close.end() - 3], False):
                 head += "?"
             lexed = _Lexed(raw[close.end() :])
@@ -345,7 +476,7 @@ def parse(text: str) -> tuple[bool, int, str]:
             body = (head if quote else "") + lexed.norm
         quote = lexed.open
         if quote:
-            formatted, held, head = lexed.formatted, lexed.rest, body
+            formatted, held, head, check, check_raw = lexed.formatted, lexed.rest, body, lexed.check, False
             continue
         if not body:
             continue

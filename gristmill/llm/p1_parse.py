@@ -6,15 +6,12 @@ grammar, the position of the furthest failure (code points of the raw text) and
 Defined results: a null text or a path without a known extension has no verdict (no row comes out); an
 empty or blank text is a valid Python, JavaScript or TOML file and an invalid JSON file; the export's tag
 line on top (``<reponame>…``) is not part of the file; texts of any length are read whole; repeated rows
-give repeated verdicts. Python files that the grammar rejects are checked once more with the running
-interpreter's own parser, so a construct newer than the grammar is no false alarm.
+give repeated verdicts; nesting may be as deep as the file is long.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +25,8 @@ EXTENSIONS = {"py": "python", "pyw": "python", "js": "javascript", "mjs": "javas
 _TAGS = re.compile(r"(?:<(?:reponame|filename|gh_stars)>[^\n]*(?:\n|\Z))")
 _CONFLICT = re.compile(r"^(?:<{7}(?: .*)?|={7}|>{7}(?: .*)?)\r?$", re.M)
 VERDICT = "language string, parses boolean, fail_pos long, cause string"
-#: A worker keeps the verdicts of so many texts it has seen, by content.
-SEEN = 50_000
+#: A worker keeps the verdicts of valid texts it has seen, by content, up to so many characters.
+SEEN = 50_000_000
 
 
 def language_of(path: Column) -> Column:
@@ -43,13 +40,7 @@ def _python(text: str) -> tuple[bool, int, str]:
     ok, count, what = lang_python.parse(text)
     if ok:
         return True, 0, ""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-        return True, 0, ""
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return False, -1 if count < 0 else lang_python.position(text, count), what
+    return False, -1 if count < 0 else lang_python.position(text, count), what
 
 
 PARSERS = {"python": _python, "javascript": lang_javascript.parse, "json": lang_data.parse_json, "toml": lang_data.parse_toml}
@@ -77,6 +68,7 @@ def verdict(text: str, language: str) -> tuple[bool, int | None, str | None]:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[tuple, tuple] = {}
+    held = 0
     for batch in batches:
         names = batch.schema.names
         out = []
@@ -85,8 +77,9 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = seen.get(key)
             if got is None or got[0] != text:
                 got = (text, *verdict(text, lang))
-                if len(seen) < SEEN and not got[1]:
+                if got[1] and held + len(text) <= SEEN:
                     seen[key] = got
+                    held += len(text)
             out.append(got[1:])
         keep = [c for c in names if c != "__text"]
         yield pa.RecordBatch.from_arrays(

@@ -11,6 +11,7 @@ terminal failed.
 from __future__ import annotations
 
 import re
+import sys
 
 _TOKEN = re.compile(r"\s*(?:('[^']*')|([A-Za-z_]\w*)|(@nl)|([{}()/*+?&!]))")
 
@@ -155,10 +156,13 @@ class Peg:
 
     def match(self, tokens: list[str], newlines: list[bool] | None = None, start: str | None = None) -> tuple[bool, int]:
         """Whether the start rule consumes ``tokens`` (which must end with ``'$'``), and the furthest failure."""
+        # calls between rules need no C stack, so the depth may grow with the input
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, 64 * len(tokens) + 10_000))
         try:
             end, far = self._run(tokens, newlines, start or self.start)
-        except RecursionError:
-            return False, len(tokens) - 1
+        finally:
+            sys.setrecursionlimit(before)
         if end >= len(tokens) - 1:
             return True, end
         return False, max(far, end, 0)
