@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import cut, table
-from . import p1_parse, p2_pairs, p6_packing, p7_mixing, p8_sentences
+from . import group_queries, p1_parse, p2_pairs, p6_packing, p7_mixing, p8_sentences
 from ..functions.tokens import with_token_count
 
 
@@ -107,8 +107,8 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p6_blocks, p6_report, p7_mixture, p7_stages, p7_shares, p8_found, p8_units)}
+    return group_queries.queries() | {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p6_blocks, p6_report, p7_mixture, p7_stages, p7_shares, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return group_queries.oracle_sql()
