@@ -26,13 +26,16 @@ def empty_like(spark: SparkSession, schema: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names.
 
-    The folder is read from ``spark.checkpoint.dir``; only where it is unset (tests, local runs) a
-    temporary one is made.
+    The folder is read from ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
+    temporary one and any other session an error: a folder of one machine is no place for a cluster's data.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-"))
     return df.checkpoint()
 
 
@@ -101,13 +104,41 @@ def prefix_sum(
     )
 
 
-def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join many rows with at most one row per key; keys that are hot in ``rows`` are salted.
+def hot_list(counts: DataFrame, key: str, n: str = "n", hot_rows: int = HOT_ROWS) -> list:
+    """The keys of at least ``hot_rows`` rows, at most ``HOT_SHARE`` of them, the hottest: a bounded list that holds
+    every key with a ``HOT_SHARE``-th of the rows. One pass over the counts."""
+    return [r[0] for r in counts.where(F.col(n) >= hot_rows).orderBy(F.desc(n), key).limit(HOT_SHARE).select(key).collect()]
 
-    The hot keys, at most ``HOT_SHARE`` whatever the input, are looked up first.
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, hot: list | None = None) -> DataFrame:
+    """Join many rows with the rows of their key in ``one`` (few a key); keys that are hot in ``rows`` are salted.
+
+    ``hot`` names the hot keys where they are known (see :func:`hot_list`). Else they are looked up, which runs
+    ``rows`` once more: cut it before if it is dear.
     """
-    hot = [r[0] for r in hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key, hot_rows=hot_rows).collect()]
+    if hot is None:
+        hot = hot_list(rows.groupBy(key).agg(F.count("*").alias("n")), key, hot_rows=hot_rows)
     if not hot:
         return rows.join(one, key, how)
     listed = rows.sparkSession.createDataFrame([(h,) for h in hot], f"`{key}` {rows.schema[key].dataType.simpleString()}")
     return salted_join(rows, one, key, listed, how)
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> DataFrame:
+    """``w, b``: the low ``bits`` bits of the hashes in ``column``, as the set bits of 2**bits / 64 numbers.
+
+    A filter of fixed size, whatever the input: at most 2**(bits - 6) rows, safe to broadcast. It never misses a
+    hash; what it lets through by chance must fail a later join.
+    """
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.shiftright(slot, 6).cast("int").alias("w")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.select(word, bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
+def sift(rows: DataFrame, column: str, marks: DataFrame, bits: int) -> DataFrame:
+    """The rows whose hash in ``column`` may be in the :func:`bitmap` ``marks``, without a shuffle."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    known = marks.select(F.col("w").alias("__w"), F.col("b").alias("__b"))
+    got = rows.withColumn("__w", F.shiftright(slot, 6).cast("int")).join(F.broadcast(known), "__w")  # of fixed size
+    return got.where(F.call_function("getbit", F.col("__b"), slot.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("__w", "__b")

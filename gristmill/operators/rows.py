@@ -26,7 +26,7 @@ def first_of(df: DataFrame, key: list[Column], row_id: str = "row_id") -> DataFr
 
 def audit(df: DataFrame, key: Column, row_id: str = "row_id") -> DataFrame:
     """Every row and the first row of its key (``duplicate_of`` null for firsts)."""
-    keyed = df.withColumn("__k", key)
+    keyed = cut(df.withColumn("__k", key))  # the key is worked out once
     first = keyed.groupBy("__k").agg(F.min(row_id).alias("__first"))
     return spread_join(keyed, first, "__k").withColumn("duplicate_of", F.when(F.col("__first") != F.col(row_id), F.col("__first"))).drop("__k", "__first")
 

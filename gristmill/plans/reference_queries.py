@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import one_delivery, spread_join, table
+from ..common import cut, one_delivery, spread_join, table
 from ..functions import text as T
 from ..functions import verify
 from ..functions.tokens import with_token_count
@@ -90,7 +90,7 @@ _REASON = f"""CASE WHEN t = '' THEN 'empty' WHEN t LIKE '<%' THEN 'startswith_lt
 def clean_reasons(spark, d):
     """The cleaning cascade with exact deduplication of what it keeps, counted by language."""
     t = docs(spark, d, F.lower(F.trim("lang")).alias("lang")).where("text IS NOT NULL").withColumn("t", clean())
-    t = t.select("row_id", "lang", F.length("t").alias("n"), F.sha1("t").alias("h"), T.reject_reason("t").alias("reason"))
+    t = cut(t.select("row_id", "lang", F.length("t").alias("n"), F.sha1("t").alias("h"), T.reject_reason("t").alias("reason")))  # the cascade runs once
     kept = t.where("reason IS NULL").groupBy("h").agg(F.min("row_id").alias("first"))
     joined = spread_join(t, kept, "h", "left")
     verdict = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("first") != F.col("row_id"), "duplicate").otherwise("kept")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import core_queries, reference_queries
+from . import reference_queries
 
 
 def queries() -> dict:
-    return core_queries.queries() | reference_queries.queries()
+    return reference_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return core_queries.oracle_sql() | reference_queries.oracle_sql()
+    return reference_queries.oracle_sql()
