@@ -29,14 +29,19 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is read from ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
     temporary one and any other session an error: a folder of one machine is no place for a cluster's data.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables, see :func:`cut`."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def one_delivery(df: DataFrame, key: str = "row_id") -> DataFrame:

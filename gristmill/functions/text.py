@@ -161,6 +161,38 @@ def stable_id(prefix: str, *parts: Column, length: int = 10) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.md5(text), 1, length))
 
 
+def longest_quoted(t: Column | str) -> Column:
+    """The longest text in straight or curly double quotes without outer and repeated blanks, the first of equals; else null."""
+    found = F.regexp_extract_all(_c(t), F.lit('["“]([^"“”]+)["”]'), F.lit(1))
+    plain = F.filter(F.transform(found, lambda x: collapse(x)), lambda x: x != "")
+    return F.aggregate(plain, F.lit(None).cast("string"), lambda a, x: F.when(F.length(x) > F.coalesce(F.length(a), F.lit(0)), x).otherwise(a))
+
+
+def after_colon(t: Column | str) -> Column:
+    """What stands behind the first colon and a blank; null where nothing does."""
+    return F.nullif(strip(F.regexp_extract(_c(t), r"(?s)^[^:]*:\s+(.*)$", 1)), F.lit(""))
+
+
+def json_object(t: Column | str) -> Column:
+    """The one JSON object of a text: the whole text, else from its first to its last brace; null where that is none."""
+    def read(x: Column) -> Column:
+        v = F.try_parse_json(x)
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+    return F.coalesce(read(_c(t)), read(F.regexp_extract(_c(t), r"(?s)\{.*\}", 0)))
+
+
+def without_header(t: Column | str) -> Column:
+    """Without one export line on top."""
+    return sub(t, r"\A<reponame>[^\n]*(?:\n|\z)")
+
+
+def open_prompt_reason(t: Column | str, banned: list[str], least: int = 6, most: int = 80) -> Column:
+    """Why a prompt is not taken: banned parts (of words too), too few or too many words."""
+    n = F.size(space_words(_c(t)))
+    return F.when(any_of(F.lower(_c(t)), banned), "banned_keyword").when(n < least, "too_short").when(n > most, "too_long")
+
+
 # -- measures --------------------------------------------------------------------------------------------
 def _share(n: Column, t: Column | str, empty: float = 0.0) -> Column:
     size = F.length(_c(t))
@@ -213,6 +245,7 @@ def placeholder_spam(t: Column | str) -> Column:
     return has(t, r"_{20}|\.{20}|-{30}|={30}|(.)\1{49}")
 
 
+# (the words of a menu are fixed values)
 def menu_hits(t: Column | str) -> Column:
     return count_of(t, r"(?i)\b(?:home|about|contact|privacy|terms|cookie|cookies|subscribe|sign in|login|register|newsletter)\b")
 
@@ -490,6 +523,30 @@ def _reasons(pairs: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]))
 
 
+def numbered_list(t: Column | str) -> Column:
+    return has(t, r"(?m)^\s*\d+\.\s+")
+
+
+def body_sentences(t: Column | str) -> Column:
+    """Sentences without the first and last of at least three lines (greeting and sign-off)."""
+    lines = F.transform(nonblank_lines(t), lambda x: strip(x))
+    body = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
+    return sentence_count(F.when(F.size(lines) < 3, _c(t)).otherwise(body))
+
+
+#: Terms of which two make an explanation too technical.
+TECHNICAL = ["financial statement", "cash flow", "income statement", "liabilities", "equity", "algorithm", "implementation", "framework", "optimization"]
+
+
+def too_technical(t: Column | str) -> Column:
+    low = F.lower(_c(t))
+    return sum((low.contains(w).cast("int") for w in TECHNICAL), F.lit(0)) >= 2
+
+
+def placeholder(t: Column | str) -> Column:
+    return has(t, r"(?i)\[(?:your|insert|name|date)[^\]]*\]|\blorem ipsum\b|\btbd\b")
+
+
 def code_pollution(t: Column | str) -> Column:
     return has(t, r"(?i)```|\bimport\s+\w+|\bfrom\s+\w+\s+import\b|\bdef\s+\w+\s*\(|\bclass\s+\w+|\bprint\s*\(")
 
@@ -502,7 +559,7 @@ def hard_reasons(answer: Column | str, prompt: Column | str) -> Column:
             ("empty", strip(a) == ""),
             ("too_short", word_count(a) < 2),
             ("code_pollution", code_pollution(a)),
-            ("placeholder", has(a, r"(?i)\[(?:your|insert|name|date)[^\]]*\]|\blorem ipsum\b|\btbd\b")),
+            ("placeholder", placeholder(a)),
             ("meta_prefix", has(a, r"(?i)^\s*(?:sure|certainly|of course|here(?:'s| is| are))\b")),
             ("multiple_answers", has(a, r"(?i)\b(?:option|version|alternative)\s*[12]\b")),
             ("prompt_echo", prompt_echo(prompt, a)),
@@ -520,12 +577,17 @@ def family_reasons(answer: Column | str, family: Column, limits: Column) -> Colu
         return F.coalesce(limits[name], F.lit(default) if isinstance(default, int) else default)
 
     mail = F.coalesce(limits["must_be_email"], F.lit(False))
+    short = ~mail & F.coalesce(limits["must_be_short_message"], F.lit(False))
+    body, least, most = body_sentences(a), lim("min_sentences", 1), lim("max_sentences", 7)
     email = _reasons(
         [
             ("email_or_message_length", (n < lim("min_words", F.when(mail, 25).otherwise(5))) | (n > lim("max_words", F.when(mail, 125).otherwise(55)))),
             ("email_or_message_has_bullets", bullet_count(a) > 0),
             ("missing_greeting", mail & ~has_greeting(a)),
             ("missing_signoff", mail & ~has_signoff(a)),
+            ("email_body_sentence_count", mail & ((body < least) | (body > most))),
+            ("short_message_sentence_count", short & ((s < least) | (s > most))),
+            ("short_message_too_many_lines", short & (line_count(a) > 4)),
         ]
     )
     rewrite = _reasons([("rewrite_multi_paragraph", line_count(a) > 3), ("rewrite_too_many_sentences", s > lim("max_sentences", 2)), ("rewrite_too_long", n > lim("max_words", 35)), ("rewrite_became_email", has_greeting(a) & has_signoff(a))])
@@ -539,11 +601,12 @@ def family_reasons(answer: Column | str, family: Column, limits: Column) -> Colu
             ("summary_sentence_too_long", exact.isNull() & (n > lim("max_words", 35))),
         ]
     )
-    explain = _reasons([("explain_sentence_count", (s < 1) | (s > lim("max_sentences", 3))), ("explain_too_long", n > lim("max_words", 80)), ("explain_list_format", bullet_count(a) > 0)])
+    explain = _reasons([("explain_sentence_count", (s < 1) | (s > lim("max_sentences", 3))), ("explain_too_long", n > lim("max_words", 80)), ("explain_list_format", (bullet_count(a) > 0) | numbered_list(a)), ("too_technical", too_technical(a))])
     none = F.array().cast("array<string>")
     return F.when(family.startswith("email"), email).when(family.startswith("rewrite"), rewrite).when(family.startswith("summary"), summary).when(family.startswith("explain"), explain).otherwise(none)
 
 
+#: Reasons that no repair mends.
 HARD = ["code_pollution", "placeholder", "prompt_echo", "multiple_answers", "meta_ai"]
 
 
@@ -555,10 +618,24 @@ def instruction_score(reasons: Column) -> Column:
     return F.greatest(F.lit(1), 5 - F.size(reasons))
 
 
+#: Words up to which an answer is brief (5) or not long (4), by family; others get at most 4.
+BRIEF = {"rewrite_style": (30, 40), "summary_bullets": (70, 90), "explain_compare": (70, 90), "email_message": (100, 125)}
+
+
 def brevity_score(answer: Column | str, family: Column) -> Column:
     n = word_count(answer)
-    top, mid = (F.when(family.startswith("rewrite"), r).when(family.startswith("email"), e).otherwise(o) for r, e, o in ((30, 100, 70), (40, 125, 90)))
-    return F.when(n <= top, 5).when(n <= mid, 4).otherwise(2)
+    out = F.when(n <= 90, 4).otherwise(2)
+    for name, (top, mid) in BRIEF.items():
+        out = F.when(family == name, F.when(n <= top, 5).when(n <= mid, 4).otherwise(2)).otherwise(out)
+    return out
+
+
+def cleanliness_score(reasons: Column) -> Column:
+    return F.greatest(F.lit(1), 5 - F.size(reasons))
+
+
+def naturalness_score(answer: Column | str) -> Column:
+    return F.when(placeholder(answer) | code_pollution(answer), 1).otherwise(4)
 
 
 #: Words that tell a prompt's family, in order.

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import resource
 import subprocess
 import sys
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 #: Limits of an accepted function.
 MOST_LINES, MOST_NODES, MOST_DEPTH = 25, 140, 12
 BANNED = (ast.Import, ast.ImportFrom, ast.ClassDef, ast.AsyncFunctionDef, ast.With, ast.AsyncWith, ast.Try, ast.Raise, ast.Global, ast.Nonlocal, ast.Lambda, ast.Yield, ast.YieldFrom, ast.Await)
-BANNED_CALLS = {"eval", "exec", "open", "compile", "__import__", "input", "globals", "locals", "vars", "getattr", "setattr", "delattr"}
+#: Names that may not be called, as functions or as methods.
+BANNED_CALLS = {"eval", "exec", "open", "input", "compile", "__import__"}
 
 
 def _depth(node: ast.AST) -> int:
@@ -39,13 +41,15 @@ def structure_reasons(code: str | None, entry_point: str | None) -> list[str]:
         return ["syntax_error"]
     nodes = list(ast.walk(tree))
     functions = [n for n in tree.body if isinstance(n, ast.FunctionDef)]
-    called = [n.func.id for n in nodes if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
+    calls = [n.func for n in nodes if isinstance(n, ast.Call)]
+    called = [f.id for f in calls if isinstance(f, ast.Name)]
+    methods = [f.attr for f in calls if isinstance(f, ast.Attribute)]
     checks = {
         "top_level_function_count": len(functions) != 1,
         "extra_top_level_code": len(tree.body) != 1 or not functions,
         "wrong_function_name": bool(functions) and functions[0].name != entry_point,
         "banned_node": any(isinstance(n, BANNED) for n in nodes),
-        "banned_call": not BANNED_CALLS.isdisjoint(called),
+        "banned_call": not BANNED_CALLS.isdisjoint(called + methods),
         "recursion": entry_point in called,
         "too_many_lines": sum(bool(x.strip()) for x in (code or "").split("\n")) > MOST_LINES,
         "too_many_ast_nodes": len(nodes) > MOST_NODES,
@@ -120,11 +124,32 @@ def run_tests(code: str, entry_point: str, tests: list, seconds: float = 2.0, me
         return ["timeout"]
 
 
-def code_reward(code: str, entry_point: str, tests: list) -> float:
-    """1.0 when structure and tests pass, 0.5 when only the tests do not, else 0.0. Executes the code."""
-    if structure_reasons(code, entry_point):
+_FENCE = re.compile(r"```(?:python)?\s*(.*?)```", re.S | re.I)
+_ASSERTED = re.compile(r"assert\s+([A-Za-z_]\w*)\s*\(")
+
+
+def code_of(answer: str | None) -> str:
+    """The first fenced block of an answer, else the whole answer."""
+    m = _FENCE.search(answer or "")
+    return (m.group(1).strip() if m else "") or (answer or "")
+
+
+def asserted_name(tests: list | None) -> str | None:
+    """The function that the first telling assert calls."""
+    return next((m.group(1) for t in tests or [] if isinstance(t, str) and (m := _ASSERTED.search(t))), None)
+
+
+def code_reward(answer: str | None, entry_point: str | None, tests: list | None) -> float:
+    """1.0 when structure and tests pass, 0.5 when only the structure does or there are no tests, else 0.0.
+
+    The code may stand in a fence; a missing entry point is the code's first function, else the one that the
+    tests call. Executes the code.
+    """
+    code = code_of(answer)
+    entry = entry_point or entry_point_of(code) or asserted_name(tests)
+    if not entry or structure_reasons(code, entry):
         return 0.0
-    return 1.0 if tests and set(run_tests(code, entry_point, tests)) == {"ok"} else 0.5
+    return 1.0 if tests and set(run_tests(code, entry, tests)) == {"ok"} else 0.5
 
 
 def reward(spec: str, registry: dict) -> object:

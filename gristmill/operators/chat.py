@@ -116,3 +116,54 @@ def example_weight(messages: Column, bucket: Column, weight: Column, patterns: l
     refusing = F.exists(messages, lambda m: (m["role"] == "assistant") & T.any_of(F.lower(m["content"]), patterns))
     base = F.when(refusing & ~F.coalesce(bucket.contains("safety"), F.lit(False)), F.lit(down)).otherwise(F.lit(1.0))
     return base * F.coalesce(weight, F.lit(1.0))
+
+
+def group_id(keys: list[Column], text: Column) -> Column:
+    """The first key that a row has, else a hash of its text."""
+    return F.coalesce(*[F.nullif(F.trim(k), F.lit("")) for k in keys], F.concat(F.lit("hash_"), F.sha1(text)))
+
+
+def acceptance(messages: Column, banned: list[str], min_chars: int, rounds: int) -> Column:
+    """Why an exchange of canonical turns is not taken, or ``kept``: banned parts or few characters in an answer,
+    or no user or assistant turn left in the first rounds without trailing user turns."""
+    def answers(test) -> Column:  # noqa: ANN001
+        return F.exists(messages, lambda m: (m["role"] == "assistant") & test(m["content"]))
+
+    rest = without_trailing_user(first_rounds(messages, rounds))
+    return (
+        F.when(answers(lambda c: T.any_of(c, banned)), "banned")
+        .when(answers(lambda c: F.length(T.strip(c)) < min_chars), "short_answer")
+        .when(~has_role(rest, "user"), "no_user")
+        .when(~has_role(rest, "assistant"), "no_assistant")
+        .otherwise("kept")
+    )
+
+
+def pair_verdict(prompt: Column, chosen: Column, rejected: Column, min_chars: int, max_prompt: int) -> Column:
+    """Why a preference pair is not taken, or ``kept``."""
+    return (
+        F.when((T.strip(chosen) == "") | (T.strip(rejected) == ""), "empty")
+        .when(T.strip(chosen) == T.strip(rejected), "same")
+        .when((F.length(T.strip(chosen)) < min_chars) | (F.length(T.strip(rejected)) < min_chars), "short")
+        .when(F.length(prompt) > max_prompt, "long_prompt")
+        .otherwise("kept")
+    )
+
+
+def pair_of_messages(prompt: Column, chosen: Column, rejected: Column, system: str) -> Column:
+    """``messages, chosen, rejected`` from a prompt and two exchanges that end in an answer, else null."""
+    def answer(m: Column) -> Column:
+        last = F.try_element_at(m, F.lit(-1))
+        return F.when((F.lower(last["role"]) == "assistant") & (T.strip(last["content"]) != ""), T.newlines(last["content"]))
+
+    good = (T.strip(prompt) != "") & answer(chosen).isNotNull() & answer(rejected).isNotNull()
+    messages = F.array(turn("system", system), turn("user", T.strip(T.newlines(prompt))))
+    return F.when(good, F.struct(messages.alias("messages"), answer(chosen).alias("chosen"), answer(rejected).alias("rejected")))
+
+
+def pair_of_answers(system: Column, question: Column, chosen: Column, rejected: Column, default: str) -> Column:
+    """The same from plain texts; a blank system text becomes the default."""
+    good = (T.strip(question) != "") & (T.strip(chosen) != "") & (T.strip(rejected) != "")
+    lead = F.coalesce(F.nullif(T.strip(system), F.lit("")), F.lit(default))
+    messages = F.array(turn("system", lead), turn("user", T.strip(T.newlines(question))))
+    return F.when(good, F.struct(messages.alias("messages"), T.newlines(chosen).alias("chosen"), T.newlines(rejected).alias("rejected")))

@@ -253,3 +253,19 @@ def ema(values: Column, beta: float = 0.9) -> Column:
     """Exponential moving average of an array in order."""
     start = F.array().cast("array<double>")
     return F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(beta * F.try_element_at(acc, F.lit(-1)) + (1 - beta) * x))))
+
+
+def share_report(used: DataFrame, config: DataFrame, by: str, size: str, weight: str) -> DataFrame:
+    """Size, share, weight and error of every configured source (one row each)."""
+    all_of = W.partitionBy()
+    joined = F.broadcast(config.select(by, weight)).join(used, by, "left").withColumn(size, F.coalesce(size, F.lit(0)).cast("long"))
+    share, want = F.col(size) / F.sum(size).over(all_of), F.col(weight) / F.sum(weight).over(all_of)
+    return joined.select(by, F.round(want, 9).alias("weight"), size, F.round(share, 9).alias("share"), F.round(share - want, 9).alias("error"))
+
+
+def key_match(df: DataFrame, group: str, key: str, numbers: str, row_id: str = "row_id") -> DataFrame:
+    """How each row matches the first row of its group: ``text``, ``numbers`` (the same, in order) or ``no``."""
+    first = df.groupBy(group).agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(numbers).alias("n")), row_id).alias("__first"))
+    joined = spread_join(df, first, group)
+    same = (F.size(numbers) > 0) & (F.col(numbers) == F.col("__first.n"))
+    return joined.select(row_id, F.when(F.col(key) == F.col("__first.k"), "text").when(same, "numbers").otherwise("no").alias("matched"))

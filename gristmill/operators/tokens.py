@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,14 +61,7 @@ def loss_mask(ids: Column, bos: int, eos: int) -> Column:
 def blocks(df: DataFrame, ids: str, length: int, by: list[str], row_id: str = "row_id") -> DataFrame:
     """Documents laid end to end within ``by`` in row order and cut into blocks of ``length`` ids; the
     remainder is dropped. Only the pieces of a document that lie in different blocks are exploded."""
-    run = running_total(df.where(F.size(ids) > 0), by, F.size(ids), "__from", row_id)
-    first, last = F.floor(F.col("__from") / length), F.floor((F.col("__from") + F.size(ids) - 1) / length)
-    parts = run.withColumn("block", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("block") * length - F.col("__from"), F.lit(0))
-    hi = F.least((F.col("block") + 1) * length - F.col("__from"), F.size(ids).cast("long"))
-    piece = parts.select(*by, "block", F.struct(F.col("__from"), F.slice(ids, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("x")).alias("p"))
-    whole = piece.groupBy(*by, "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("ids"))
-    return whole.where(F.size("ids") == length)
+    return pieces_of(df, ids, length, by, row_id).where(F.size("ids") == length)
 
 
 def first_tokens(df: DataFrame, ids: str, by: str, k: int) -> DataFrame:
@@ -75,3 +71,68 @@ def first_tokens(df: DataFrame, ids: str, by: str, k: int) -> DataFrame:
     n = df.where(F.size(ids) > 0).groupBy(by, F.col(ids)[0].alias("token")).agg(F.count("*").alias("n"))
     both = n.unionByName(n.groupBy("token").agg(F.sum("n").alias("n")).withColumn(by, F.lit(None).cast("string")))
     return both.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "token"))).where(F.col("rank") <= k)
+
+
+class ChatIds(NamedTuple):
+    """Ids of the marks around turns; they must lie outside the vocabulary of texts (or be reserved in it)."""
+
+    bos: int
+    system: int
+    user: int
+    assistant: int
+    eos: int
+
+
+#: The label of a position that is not supervised.
+IGNORED = -100
+
+
+def encode_chat(df: DataFrame, messages: str, marks: ChatIds, cue: bool = False, tokenizer: str = DEFAULT, folder: str = FOLDER) -> DataFrame:
+    """All columns but the messages, and ``ids`` and ``labels``: BOS, then for each turn its role's id and its
+    content; EOS closes an assistant's turn. Labels repeat the ids of answers and their EOS and are ``IGNORED``
+    elsewhere. With ``cue``, the ids end in the assistant's mark (a prompt). Marks written in a text stay text.
+    Null or empty messages give BOS alone.
+    """
+    path, roles = f"{folder}/{tokenizer}", {"system": marks.system, "user": marks.user, "assistant": marks.assistant}
+
+    def one(turns: list, coded: Iterator[list[int]]) -> tuple[list[int], list[int]]:
+        ids, labels = [marks.bos], [IGNORED]
+        for m in turns:
+            x = next(coded)
+            ids += [roles[m["role"]], *x]
+            labels.append(IGNORED)
+            if m["role"] == "assistant":
+                ids.append(marks.eos)
+                labels += [*x, marks.eos]
+            else:
+                labels += [IGNORED] * len(x)
+        if cue:
+            ids.append(marks.assistant)
+            labels.append(IGNORED)
+        return ids, labels
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            i = b.schema.names.index(messages)
+            keep = [k for k in range(b.num_columns) if k != i]
+            chats = [[m for m in c or () if m and m["role"] in roles] for c in b.column(i).to_pylist()]
+            coded = iter(encode(path, [m["content"] for c in chats for m in c]))
+            both = [one(c, coded) for c in chats]
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([x for x, _ in both], kind), pa.array([y for _, y in both], kind)], names=[*(b.schema.names[k] for k in keep), "ids", "labels"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != messages)
+    return df.mapInArrow(run, f"{schema}ids array<int>, labels array<int>")
+
+
+def pieces_of(df: DataFrame, ids: str, length: int, by: list[str], row_id: str = "row_id") -> DataFrame:
+    """Documents laid end to end within ``by`` in row order and cut into runs of ``length`` ids, the last one
+    shorter: ``by, block, ids``."""
+    run = running_total(df.where(F.size(ids) > 0), by, F.size(ids), "__from", row_id)
+    first, last = F.floor(F.col("__from") / length), F.floor((F.col("__from") + F.size(ids) - 1) / length)
+    parts = run.withColumn("block", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("block") * length - F.col("__from"), F.lit(0))
+    hi = F.least((F.col("block") + 1) * length - F.col("__from"), F.size(ids).cast("long"))
+    piece = parts.select(*by, "block", F.struct(F.col("__from"), F.slice(ids, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("x")).alias("p"))
+    # at most ``length`` ids come together
+    return piece.groupBy(*by, "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("ids"))

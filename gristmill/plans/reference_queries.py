@@ -390,8 +390,11 @@ def verify_answers(spark, d):
     t = one_delivery(table(spark, d, "teacher_answers")).withColumn("a", F.coalesce(T.drop_reasoning("answer_raw"), F.lit("")))
     fam = F.coalesce("family", F.lit(""))
     why = F.concat(T.hard_reasons("a", F.coalesce("prompt", F.lit(""))), T.family_reasons("a", fam, F.col("constraints")))
-    t = t.select("row_id", fam.alias("family"), "a", why.alias("why"))
-    return t.select("row_id", F.array_join("why", ",").alias("reasons"), T.instruction_score(F.col("why")).alias("instruction"), T.brevity_score("a", F.col("family")).alias("brevity"), ((F.size("why") > 0) & T.repairable(F.col("why"))).alias("repairable"))
+    t = cut(t.select("row_id", fam.alias("family"), "a", why.alias("why")))  # the reasons are worked out once
+    return t.select(
+        "row_id", F.array_join("why", ",").alias("reasons"), T.instruction_score(F.col("why")).alias("instruction"), T.cleanliness_score(F.col("why")).alias("cleanliness"), T.brevity_score("a", F.col("family")).alias("brevity"),
+        T.naturalness_score("a").alias("naturalness"), ((F.size("why") > 0) & T.repairable(F.col("why"))).alias("repairable"),
+    )
 
 
 @query()
@@ -482,7 +485,7 @@ def chars_per_token(spark, d):
 def token_blocks(spark, d):
     """Documents end to end in blocks of 1,025 ids: blocks and supervised labels by source."""
     t = tokens.with_ids(table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "source", "text"))
-    t = t.where(F.size("ids") > 0).withColumn("ids", tokens.with_ends(F.col("ids"), None, 50256))
+    t = cut(t.where(F.size("ids") > 0).withColumn("ids", tokens.with_ends(F.col("ids"), None, 50256)))  # encoded once
     b = tokens.blocks(t, "ids", 1025, ["source"])
     live = F.aggregate(tokens.loss_mask(F.col("ids"), -1, 50256), F.lit(0), lambda a, x: a + x)
     return b.groupBy("source").agg(F.count("*").alias("blocks"), F.sum(live).alias("labels"), F.min(tokens.in_range(F.col("ids"), 50257).cast("int")).alias("all_in_range"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tokens import pieces_of
+
 
 def read_text_lines(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
     """``value, path, reason, text``: every non-blank line with why it has no usable text (null if it has).
@@ -98,42 +100,84 @@ def write_verdicts(df: DataFrame, path: str, reasons: str, repairable: str) -> N
     df.withColumn("verdict", verdict).write.mode("overwrite").partitionBy("verdict").json(path)
 
 
-def write_shards(df: DataFrame, ids: str, folder: str, vocab: int, per_shard: int = 4096) -> DataFrame:
-    """Packed ``.bin`` shards (uint16, or uint32 for large vocabularies), one file a task, and their sizes.
+def write_shards(df: DataFrame, ids: str, folder: str, vocab: int, per_shard: int) -> DataFrame:
+    """Packed ``.bin`` shards of exactly ``per_shard`` ids each (the last one shorter) in row order, and their sizes.
 
-    A shard is first written under another name and then renamed, so a task that is run again replaces it.
+    ``df`` has ``row_id`` and the ids. Ids are uint16, or uint32 for large vocabularies; an id outside the
+    vocabulary fails the write. ``folder`` is a path or URI of a file system that all machines share. A shard is
+    written under another name and then moved, so a task that is run again replaces it.
     """
     kind = "<u2" if vocab <= 65_536 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        os.makedirs(folder, exist_ok=True)
-        name, n = os.path.join(folder, f"shard_{part:06d}.bin"), 0
-        tmp = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
-        with open(tmp, "wb") as f:
-            for b in batches:
-                flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+        system, root = _file_system(folder)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            for block, x in zip(b.column(0).to_pylist(), b.column(1)):
+                flat = x.values.to_numpy(zero_copy_only=False)
                 if len(flat) and (flat.min() < 0 or flat.max() >= vocab):
                     raise ValueError("token id out of range")
-                f.write(flat.astype(kind).tobytes())
-                n += len(flat)
-        os.replace(tmp, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["shard", "tokens"])
+                name = f"{root}/shard_{block:06d}.bin"
+                tmp = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+                with system.open_output_stream(tmp) as f:
+                    f.write(flat.astype(kind).tobytes())
+                system.move(tmp, name)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(flat)], pa.int64())], names=["shard", "tokens"])
+
+    cut_up = pieces_of(df.select("row_id", F.col(ids).alias("ids")), "ids", per_shard, [])
+    return cut_up.select(F.col("block").cast("long"), "ids").mapInArrow(run, "shard string, tokens long")
+
 
-    return df.select(ids).mapInArrow(run, "shard string, tokens long")
+def _file_system(folder: str):  # noqa: ANN202
+    from pyarrow import fs
 
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
-def read_shards(spark: SparkSession, path: str, block: int, wide: bool = False) -> DataFrame:
-    """``path, block, ids`` of packed shards in blocks; a remainder is dropped."""
+
+def read_shards(spark: SparkSession, path: str, block: int, wide: bool = False, keep_rest: bool = False) -> DataFrame:
+    """``path, block, ids`` of packed shards in blocks; a remainder is dropped unless it is asked for. (A shard is
+    one cell; its size is fixed when it is written.)"""
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = np.frombuffer(data, kind).astype(np.int32)
-                x = x[: len(x) // block * block].reshape(-1, block)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(range(len(x)), pa.int64()), pa.array(list(x), pa.list_(pa.int32()))], names=["path", "block", "ids"])
+                parts = [x[i : i + block] for i in range(0, len(x), block)]
+                if parts and len(parts[-1]) < block and not keep_rest:
+                    parts.pop()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["path", "block", "ids"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, block long, ids array<int>")
+
+
+def shard_kind(meta: dict | None) -> bool:
+    """Whether shards are wide (uint32), as their manifest says; without one they are not."""
+    return str((meta or {}).get("dtype", "uint16")) == "uint32"
+
+
+def manifest(sizes: list[tuple[str, int]], targets: dict[str, int], vocab: int) -> dict:
+    """What a build leaves beside its shards: kind of ids, totals, targets, shards and their sizes."""
+    return {"dtype": "uint16" if vocab <= 65_536 else "uint32", "vocab": vocab, "tokens": sum(n for _, n in sizes), "targets": targets, "shards": [{"name": os.path.basename(s), "tokens": n} for s, n in sorted(sizes)]}
+
+
+def parse_spec(spec: str) -> tuple[str, float, str]:
+    """``path:value``: a ratio (below or equal to 1, with a point) or a count."""
+    path, _, value = spec.rpartition(":")
+    if not path or not value:
+        raise ValueError(f"bad spec {spec!r}: need path:value")
+    number = float(value)
+    if number <= 0:
+        raise ValueError(f"bad spec {spec!r}: the value must be positive")
+    return path, number, "ratio" if number <= 1 and "." in value else "count"
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A metrics log without its bad lines; a missing kind is val where there is a val_loss, else train."""
+    raw = spark.read.option("mode", "PERMISSIVE").schema("kind string, step long, loss double, val_loss double, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    kind = F.coalesce("kind", F.when(F.col("val_loss").isNotNull(), "val").otherwise("train"))
+    return raw.where(F.col("_bad").isNull() & F.col("step").isNotNull()).drop("_bad").withColumn("kind", kind)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions import verify
-from gristmill.operators import chat
+from gristmill.operators import chat, tokens
 from gristmill.sources import jsonl
 from gristmill.streaming import clean
 
@@ -83,16 +83,87 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "b.jsonl.zst").write_bytes(zstandard.compress("x\ny\n".encode()))
     assert [r.value for r in jsonl.read_zst_lines(spark, str(tmp_path / "b.jsonl.zst")).collect()] == ["x", "y"]
     jsonl.write_lines(spark.createDataFrame([("é", None, 1)], "a string, b string, _c int"), str(tmp_path / "out"))
-    assert json.loads(next((tmp_path / "out").glob("part*")).read_text(encoding="utf-8")) == {"a": "é", "b": None}
+    assert json.loads("".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("part*"))) == {"a": "é", "b": None}
     assert jsonl.parse_weights(["a:b:1", "c:3"]) == [("a:b", 0.25), ("c", 0.75)]
     assert jsonl.notebook_code('{"cells": [{"cell_type": "code", "source": ["a\\n", "b"]}, {"cell_type": "markdown", "source": "x"}]}') == "a\nb" and jsonl.notebook_code("x") is None
 
 
 def test_shards_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([([1, 2, 65535],), ([4, 5, 6, 7],)], "ids array<int>").coalesce(1)
-    assert jsonl.write_shards(df, "ids", str(tmp_path / "s"), 65536).first().tokens == 7
-    got = sorted((r.block, r.ids) for r in jsonl.read_shards(spark, str(tmp_path / "s"), 3).collect())
-    assert got == [(0, [1, 2, 65535]), (1, [4, 5, 6])]
+    df = spark.createDataFrame([(2, [4, 5, 6, 7]), (1, [1, 2, 65535])], "row_id long, ids array<int>")
+    sizes = sorted((r.shard[-10:], r.tokens) for r in jsonl.write_shards(df, "ids", str(tmp_path / "s"), 65536, 5).collect())
+    assert sizes == [("000000.bin", 5), ("000001.bin", 2)]
+    path = str(tmp_path / "s")
+    assert sorted((r.path[-5:], r.block, r.ids) for r in jsonl.read_shards(spark, path, 3).collect()) == [("0.bin", 0, [1, 2, 65535])]
+    assert sorted((r.path[-5:], r.block, r.ids) for r in jsonl.read_shards(spark, path, 3, keep_rest=True).collect()) == [("0.bin", 0, [1, 2, 65535]), ("0.bin", 1, [4, 5]), ("1.bin", 0, [6, 7])]
+    with pytest.raises(Exception, match="out of range"):
+        jsonl.write_shards(df, "ids", str(tmp_path / "t"), 100, 5).collect()
+    meta = jsonl.manifest([("x/b", 2), ("x/a", 5)], {"train": 7}, 70_000)
+    assert meta["tokens"] == 7 and jsonl.shard_kind(meta) and not jsonl.shard_kind(None) and meta["shards"][0] == {"name": "a", "tokens": 5}
+    assert jsonl.parse_spec("a:b:0.5") == ("a:b", 0.5, "ratio") and jsonl.parse_spec("a:12") == ("a", 12.0, "count")
+
+
+def test_metrics_log(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"step": 1, "loss": 2.0}\nbad\n{"step": 2, "val_loss": 1.5}\n{"kind": "bench", "step": 3}\n', encoding="utf-8")
+    assert sorted((r.step, r.kind) for r in jsonl.read_metrics(spark, str(tmp_path / "m.jsonl")).collect()) == [(1, "train"), (2, "val"), (3, "bench")]
+
+
+def test_code_reward_reads_fences_and_infers_names():
+    fenced = "Here it is:\n```python\ndef f(x):\n    return x + 1\n```\nDone."
+    assert verify.code_reward(fenced, None, ["assert f(1) == 2"]) == 1.0
+    assert verify.code_reward(fenced, None, []) == 0.5 and verify.code_reward(fenced, None, ["assert f(1) == 3"]) == 0.5
+    assert verify.code_reward("no code", None, ["assert g(1) == 2"]) == 0.0 and verify.code_reward(None, None, None) == 0.0
+    assert verify.asserted_name(["x = 1", "assert solve (3) == 4"]) == "solve"
+
+
+def test_banned_calls():
+    for body in ("open('x')", "x.open()", "eval('1')", "x.compile(1)"):
+        assert "banned_call" in verify.structure_reasons(f"def f(x):\n    return {body}", "f")
+    for body in ("getattr(x, 'a')", "vars(x)", "x.load()"):
+        assert "banned_call" not in verify.structure_reasons(f"def f(x):\n    return {body}", "f")
+
+
+def test_family_reasons(spark):
+    limits = "struct<min_words:int,max_words:int,min_sentences:int,max_sentences:int,exact_bullets:int,must_be_email:boolean,must_be_short_message:boolean>"
+    data = [
+        ("email_message", "Dear Ann,\nOne. Two. Three. Four.\nBest regards", (1, 99, 1, 3, None, True, False)),
+        ("email_message", "One. Two. Three.\na\nb\nc\nd", (1, 99, 1, 2, None, False, True)),
+        ("explain_compare", "1. An algorithm and its implementation.", (None, None, None, 3, None, False, False)),
+        ("explain_compare", "It is a small thing.", None),
+    ]
+    df = spark.createDataFrame(data, f"family string, a string, c {limits}")
+    got = [set(r[0]) for r in df.select(T.family_reasons("a", F.col("family"), F.col("c"))).collect()]
+    assert got == [{"email_body_sentence_count"}, {"short_message_sentence_count", "short_message_too_many_lines"}, {"explain_list_format", "too_technical"}, set()]
+    scores = spark.createDataFrame([("other", 80), ("other", 91), ("summary_bullets", 60), ("rewrite_style", 35)], "f string, n int").select(T.brevity_score(F.repeat(F.lit("w "), F.col("n")), F.col("f"))).collect()
+    assert [r[0] for r in scores] == [4, 2, 5, 4]
+
+
+def test_payloads(spark):
+    df = spark.createDataFrame([('Say "a b" or “longer  one”: now', 'x {"a": {"b": 1}} y'), (None, None), ("none", "{bad}")], "p string, j string")
+    got = [tuple(r) for r in df.select(T.longest_quoted("p"), T.after_colon("p"), T.json_object("j").isNotNull()).collect()]
+    assert got == [("longer one", "now", True), (None, None, False), (None, None, False)]
+
+
+def test_chat_encoding(spark):
+    messages = [("system", "a"), ("user", "b"), ("assistant", "c <|eos|>"), ("assistant", "d")]
+    df = spark.createDataFrame([(1, messages), (2, None), (3, [])], "row_id long, m array<struct<role:string,content:string>>")
+    marks = tokens.ChatIds(60000, 60001, 60002, 60003, 50256)
+    got = {r.row_id: r for r in tokens.encode_chat(df, "m", marks).collect()}
+    ids, labels = got[1].ids, got[1].labels
+    assert ids[0] == 60000 and [x for x in ids if x >= 50257] == [60000, 60001, 60002, 60003, 60003] and ids.count(50256) == 2
+    first = ids.index(60003)
+    assert all(x == -100 for x in labels[: first + 1]) and [x for x in labels if x >= 0] == [x for x in ids[first + 1 :] if x != 60003]
+    assert got[2].ids == [60000] == got[3].ids and got[2].labels == [-100]
+    cue = {r.row_id: r.ids for r in tokens.encode_chat(df, "m", marks, cue=True).collect()}
+    assert cue[1] == [*ids, 60003] and cue[3] == [60000, 60003]
+
+
+def test_preference_schemas(spark):
+    pair = spark.createDataFrame([(" q ", [("user", "q"), ("Assistant", "yes\r\n")], [("assistant", "no")]), ("q", [("user", "q")], [("assistant", "no")]), (None, None, None)], "p string, c array<struct<role:string,content:string>>, r array<struct<role:string,content:string>>")
+    got = [r[0] for r in pair.select(chat.pair_of_messages(F.col("p"), F.col("c"), F.col("r"), "S")).collect()]
+    assert [m.content for m in got[0].messages] == ["S", "q"] and (got[0].chosen, got[0].rejected) == ("yes\n", "no") and got[1] is None and got[2] is None
+    plain = spark.createDataFrame([(" ", "q", "a", "b"), ("Be kind", "q", "", "b")], "s string, q string, c string, r string")
+    got = [r[0] for r in plain.select(chat.pair_of_answers(F.col("s"), F.col("q"), F.col("c"), F.col("r"), "S")).collect()]
+    assert got[0].messages[0].content == "S" and got[1] is None
 
 
 def test_stream(spark, tmp_path):
