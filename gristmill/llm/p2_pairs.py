@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -285,26 +286,34 @@ def _matcher(words: str) -> re.Pattern:
 _TALKERS = {lang: tuple(map(_matcher, kinds)) for lang, kinds in _TALK.items()}
 
 
+@lru_cache(maxsize=100_000)
+def _kinds(lang: str, word: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a word speaks, declines, is what is declined, belongs to such talk at all."""
+    who, no, what, around = (p.match(word) is not None for p in _TALKERS[lang])
+    return who, no, what, who or no or what or around
+
+
 def _declines(sentence: str) -> bool:
     """Whether a sentence declines and speaks of little but the request."""
     phrase = _REFUSE.search(sentence) is not None
     if not sentence.isascii() and not any("a" <= c <= "z" for c in sentence.lower()):
         return phrase  # other scripts: by phrase
-    for lang, (who, no, what, around) in _TALKERS.items():
-        words = re.findall(r"[^\W_]+(?:['’][^\W_]+)?" if lang in ("en", "de") else r"[^\W_]+", sentence)
+    for lang in _TALKERS:
+        words = _WHOLE.findall(sentence) if lang in ("en", "de") else _PARTS.findall(sentence)
         if not words:
             continue
-        kinds = [(bool(who.match(w)), bool(no.match(w)), bool(what.match(w))) for w in words]
-        known = sum(any(k) or around.match(w) is not None for k, w in zip(kinds, words))
+        kinds = [_kinds(lang, w) for w in words]
+        known = sum(k[3] for k in kinds)
         if phrase and known >= 0.7 * len(words):
             return True
-        if any(k[1] for k in kinds) and any(k[2] for k in kinds) and known >= len(words) - (len(words) > 6) and (
-            any(k[0] for k in kinds) or any(_ASKING.match(w) for w in words) and not _ADDRESSED.match(words[0])
-        ):
+        if known < len(words) - (len(words) > 6):
+            continue
+        if any(k[1] for k in kinds) and any(k[2] for k in kinds) and (any(k[0] for k in kinds) or any(_ASKING.match(w) for w in words) and not _ADDRESSED.match(words[0])):
             return len(words) >= 4
     return False
 
 
+_WHOLE, _PARTS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?"), re.compile(r"[^\W_]+")
 #: The exchange itself as the subject of a sentence.
 _ADDRESSED = re.compile(r"(?:you|your|du|sie|ihr|vous|tu|votre|usted|ustedes)\Z", re.I)
 _ASKING = re.compile(r"(?:answer|request|response|question|anfrage|antwort|frage|réponse|demande|respuesta|petición|solicitud)", re.I)
@@ -434,7 +443,12 @@ def _counts(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa
         )
 
     asked = np.unpackbits(sieve.view(np.uint8), bitorder="little").tobytes()
+
+    def marked(c: str) -> int:
+        return asked[crc32(c.encode("utf-8", "surrogatepass")) & (SIEVE - 1)]
+
     seen: dict[str, list[int]] = {}
+    ends: dict[str, int] = {}
     for b in batches:
         for raw in b.column(0).to_pylist():
             toks = tokens(answer_of(raw))
@@ -442,11 +456,18 @@ def _counts(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa
                 if toks[i - 1][0] in _ENDS:
                     continue
                 side = 0 if toks[i][0] in _ENDS else 1
-                *longer, word = contexts(toks, i)
+                last = toks[i - 1][0]
+                word = "1\x1f" + last
                 seen.setdefault(word, [0, 0])[side] += 1
-                for c in longer:
-                    if asked[crc32(c.encode("utf-8", "surrogatepass")) & (SIEVE - 1)]:
-                        seen.setdefault(c, [0, 0])[side] += 1
+                wanted = ends.get(last)
+                if wanted is None:
+                    wanted = ends[last] = marked(word)
+                if wanted:  # (an ending asks for its last word too)
+                    for c in contexts(toks, i)[:-1]:
+                        if marked(c):
+                            seen.setdefault(c, [0, 0])[side] += 1
+            if len(ends) > 200_000:
+                ends = {}
             if len(seen) > 200_000:
                 yield out(seen)
                 seen = {}
