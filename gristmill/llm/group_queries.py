@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import one_delivery, table
+from ..common import cut, one_delivery, spread_join, table
 from . import p3_copies, p4_related, p5_overlap
 
 
@@ -47,6 +47,13 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return got.select("row_id", "group_id", F.col("stratum").alias("family"), "split_name")
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's group and family, and whether the group has one split: what must hold of any valid assignment."""
+    got = p4_splits(spark, d)
+    per = got.groupBy("group_id").agg((F.min("split_name") == F.max("split_name")).alias("whole"))
+    return spread_join(cut(got.drop("split_name")), per, "group_id").select("row_id", "group_id", "family", "whole")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Actual shares against the targets, per family and over all rows."""
     targets = _targets(spark, d)
@@ -71,7 +78,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_tasks, p4_found, p4_splits, p4_report, p5_found, p5_report)}
+    return {f.__name__: f for f in (p3_found, p3_tasks, p4_found, p4_splits, p4_groups, p4_report, p5_found, p5_report)}
 
 
 _P3 = """WITH r AS (SELECT row_id, canonical_prompt AS p, entry_point AS e, "constraints" AS c FROM code_prompts WHERE canonical_prompt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ingested_at) = 1),
@@ -92,4 +99,14 @@ _P4 = f"""WITH RECURSIVE k AS (SELECT DISTINCT row_id, 'a' AS kind, {_key("meta.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4, "p3_found": _P3 + "SELECT keep_id, row_id AS copy_id FROM g WHERE keep_id < row_id"}
+    tasks = (
+        ", n AS (SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id), o AS (SELECT row_id, canonical_prompt, entry_point, \"constraints\" FROM code_prompts QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ingested_at) = 1)"
+        " SELECT o.*, coalesce(copies, 1)::BIGINT AS copies FROM o LEFT JOIN n ON keep_id = row_id WHERE row_id NOT IN (SELECT row_id FROM g WHERE keep_id < row_id)"
+    )
+    splits = f"SELECT row_id, group_id, family FROM (SELECT DISTINCT ON (row_id) row_id, family FROM general_prompts) LEFT JOIN ({_P4}) USING (row_id)"
+    return {
+        "p4_found": _P4,
+        "p4_groups": splits.replace("group_id, family FROM", "coalesce(group_id, row_id) AS group_id, family, true AS whole FROM"),
+        "p3_found": _P3 + "SELECT keep_id, row_id AS copy_id FROM g WHERE keep_id < row_id",
+        "p3_tasks": _P3 + tasks,
+    }

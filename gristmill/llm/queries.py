@@ -71,6 +71,28 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return p6_packing.report(p6_packing.pack(_sizes(spark, d), packs), packs)
 
 
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: every document's tokens lie in blocks once, in as few pieces as the capacity
+    allows, and no block holds more than its capacity (exact by arithmetic, for each capacity)."""
+    sizes, packs = _sizes(spark, d), _packs(spark, d)
+    blocks = cut(p6_packing.pack(sizes, packs))
+    caps = F.broadcast(spark.createDataFrame(packs, "pack_name string, cap int"))
+    per_doc = blocks.groupBy("pack_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum(F.col("to_token") - F.col("from_token")).alias("placed"))
+    wrong = per_doc.join(caps, "pack_name").join(sizes, "doc_id").where((F.col("placed") != F.col("n_tokens")) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("cap")))))
+    over = blocks.groupBy("pack_name", "block").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("fill")).join(caps, "pack_name").where("fill > cap")
+    bad = wrong.groupBy("pack_name").agg(F.count("*").alias("wrong_documents")).join(over.groupBy("pack_name").agg(F.count("*").alias("over_full")), "pack_name", "full")
+    placed = per_doc.groupBy("pack_name").agg(F.count("*").alias("documents"))
+    return placed.join(bad, "pack_name", "left").select("pack_name", "documents", F.coalesce("wrong_documents", F.lit(0)).alias("wrong_documents"), F.coalesce("over_full", F.lit(0)).alias("over_full"))
+
+
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mixture: no document twice, none used more often than its source allows."""
+    mixture, _, _, targets = _mix(spark, d)
+    most = F.broadcast(spark.createDataFrame([(s, m) for s, _, m in targets], "source string, most int"))
+    per = mixture.groupBy("source").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("different"), F.max("times").alias("times"))
+    return per.join(most, "source").agg(F.sum((F.col("rows") != F.col("different")).cast("long")).alias("repeated"), F.sum((F.col("times") > F.col("most")).cast("long")).alias("too_often"))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple:
     targets = [(r[0], r[1], r[2]) for r in table(spark, d, "mix_targets").select("source", "target_weight", "max_repeats").collect()]
     return (*p7_mixing.mix(_sizes(spark, d), targets), targets)
@@ -107,8 +129,9 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return group_queries.queries() | {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p6_blocks, p6_report, p7_mixture, p7_stages, p7_shares, p8_found, p8_units)}
+    return group_queries.queries() | {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_all_defects, p6_blocks, p6_report, p6_documents, p7_limits, p7_mixture, p7_stages, p7_shares, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return group_queries.oracle_sql()
+    packed = "SELECT pack_name, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0 AS wrong_documents, 0 AS over_full FROM pack_sizes"
+    return group_queries.oracle_sql() | {"p6_documents": packed, "p7_limits": "SELECT 0 AS repeated, 0 AS too_often"}
