@@ -125,9 +125,9 @@ def test_long_refusals():
 def test_sentence_with_many_possible_ends():
     s = "ab. " * 300
     ends = [(4 * k + 3, 4 * k + 4, -1.0, -1) for k in range(299)]
-    assert p8_sentences._best(s, 0, 0, len(s) - 1, ends) == [(0, len(s) - 1)]
+    assert p8_sentences._best(s, 0, 0, len(s) - 1, ends, {}) == [(0, len(s) - 1)]
     ends[150] = (603, 604, 3.0, -1)
-    assert p8_sentences._best(s, 0, 0, len(s) - 1, ends) == [(0, 603), (604, len(s) - 1)]
+    assert p8_sentences._best(s, 0, 0, len(s) - 1, ends, {}) == [(0, 603), (604, len(s) - 1)]
 
 
 def test_packing(spark):
